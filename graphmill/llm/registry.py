@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import encoding, packing, splitting
+from . import encoding, packing, splitting, validity
 
-_PARTS = (splitting, encoding, packing)
+_PARTS = (splitting, validity, encoding, packing)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
