@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import encoding, packing, secrets, splitting, validity
+from . import encoding, packing, provenance, secrets, splitting, validity
 
-_PARTS = (splitting, validity, secrets, encoding, packing)
+_PARTS = (splitting, validity, secrets, provenance, encoding, packing)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
