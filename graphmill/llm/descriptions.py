@@ -22,7 +22,8 @@ LEAST_WORDS = 4
 
 _NOTE = r"(?s:@[A-Za-z_][\w.]*+(?:\([^()]*+\))?)"
 _BRACED = rf"""(?s:/\*.*?\*/)|//[^\n]*+|"[^"\n]*+"|'[^'\n]*+'|(?s:`[^`]*+`)|{_NOTE}|[{{}}]|[^/"'`@{{}}]++"""
-_INDENTED = rf"""#[^\n]*+|(?s:[rRbBuU]{{0,2}}(?:\"\"\".*?\"\"\"|'''.*?'''))|[rRbBuU]?"[^"\n]*+"|[rRbBuU]?'[^'\n]*+'|{_NOTE}|(?<![\w.])def[ \t]++\w++|[^"'#@d]++|d"""
+_HEADS = r"(?:async[ \t]++)?(?:def|class)[ \t]++\w++"
+_INDENTED = rf"""#[^\n]*+|(?s:[rRbBuU]{{0,2}}(?:\"\"\".*?\"\"\"|'''.*?'''))|[rRbBuU]?"[^"\n]*+"|[rRbBuU]?'[^'\n]*+'|{_NOTE}|(?:\A|\n)[ \t]*+{_HEADS}|[^"'#@]+?(?=["'#@]|\n[ \t]*+{_HEADS}|\z)"""
 
 #: What editors and people in a hurry leave instead of a description.
 _PLACEHOLDER = re.compile(
@@ -104,13 +105,13 @@ def tokens(files: DataFrame) -> DataFrame:
     cut = F.when(F.col("language") == "python", F.regexp_extract_all(text, F.lit(_INDENTED), F.lit(0))).otherwise(
         F.regexp_extract_all(text, F.lit(_BRACED), F.lit(0))
     )
-    rows = files.select(
-        F.monotonically_increasing_id().alias("uid"), F.xxhash64("entity_id", "version").alias("k1"), F.xxhash64("version", "entity_id").alias("k2"),
+    rows = files.withColumn("uid", F.monotonically_increasing_id()).select(
+        "uid", F.xxhash64("entity_id", "version").alias("k1"), F.xxhash64("version", "entity_id").alias("k2"),
         (F.col("language") == "python").alias("indented"), F.posexplode(cut).alias("pos", "tok"),
     )
     kind = (
         F.when(F.col("tok").rlike(r"^(?://|/\*)") | (F.col("indented") & F.col("tok").startswith("#")), "remark")
-        .when(F.col("tok").startswith("@") & (F.length("tok") > 1), "note").when(F.col("indented") & F.col("tok").rlike(r"^def[ \t]"), "def")
+        .when(F.col("tok").startswith("@") & (F.length("tok") > 1), "note").when(F.col("indented") & F.col("tok").rlike(rf"\A\s*{_HEADS}\z"), "head")
         .when(F.col("indented") & F.col("tok").rlike(r"^[rRbBuU]{0,2}[\"']"), "string").otherwise("other")
     )
     ends = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
@@ -118,10 +119,10 @@ def tokens(files: DataFrame) -> DataFrame:
         "uid", "k1", "k2", "pos", kind.alias("kind"), ends.alias("ends"),
         F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0).alias("step"), "indented", "tok",
     )
-    slim = slim.withColumn("text", F.when(F.col("kind").isin("remark", "string"), F.col("tok"))).withColumn(
+    slim = slim.withColumn("text", F.when(F.col("kind").isin("remark", "string", "head"), F.col("tok"))).withColumn(
         "tail", F.when(F.col("kind") == "other", F.regexp_extract("tok", r"(?:\A|\n)[ \t\r]*\z", 0) != "").otherwise(False) | (F.col("tok").rlike(r"\n[ \t\r]*\z"))
     )
-    opens = F.col("tok").rlike(r":[ \t]*\r?\n\s*\z") & (F.size(F.split("tok", r":[ \t]*\r?\n")) == 2)
+    opens = F.col("tok").rlike(r":[ \t]*\r?\n\s*[rRbBuU]{0,2}\z") & (F.size(F.split("tok", r":[ \t]*\r?\n")) == 2)
     slim = slim.select("uid", "k1", "k2", "pos", "kind", "ends", "step", "text", "tail", (F.col("indented") & opens).alias("opens"))
     order = Window.partitionBy("uid").orderBy("pos")
     return (
@@ -130,7 +131,7 @@ def tokens(files: DataFrame) -> DataFrame:
         .withColumn("first_line", F.col("last_line") - F.col("ends"))
         .withColumn("begins", F.coalesce(F.lag("tail").over(order), F.lit(True)))
         .withColumn("body", F.coalesce(F.lag("opens").over(order), F.lit(False)))
-        .withColumn("owner", F.last(F.when(F.col("kind") == "def", F.col("first_line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("owner", F.last(F.when(F.col("kind") == "head", F.when(F.col("text").rlike(r"\A\s*class"), -1).otherwise(F.col("last_line"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     )
 
 
@@ -148,7 +149,7 @@ def remarks_above(toks: DataFrame) -> DataFrame:
 
 def docstrings(toks: DataFrame) -> DataFrame:
     """First strings of function bodies in Python: `k1, k2, line` (of the def) and `inside`."""
-    first = toks.where("kind = 'string' and body and owner is not null").groupBy("uid", "k1", "k2", F.col("owner").alias("line")).agg(F.min_by("text", "pos").alias("inside"))
+    first = toks.where("kind = 'string' and body and owner > 0").groupBy("uid", "k1", "k2", F.col("owner").alias("line")).agg(F.min_by("text", "pos").alias("inside"))
     return first.dropDuplicates(["k1", "k2", "line"]).drop("uid")
 
 
