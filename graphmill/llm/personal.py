@@ -62,8 +62,8 @@ _TOWN = rf"(?:,? ?\d{{4,5}})?,? {_CAP}(?:[- ](?:sur|sous|am|an der|de|la|les|upo
 _ADDRESSES = re.compile(
     rf"(?<![\w.\-/])(?:(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s\d+[A-Za-z]?,?\s)?\d{{1,4}}[A-Za-z]?(?:-\d+)?,?\s(?:{_CAP}\s){{1,3}}{_STREET}(?!\w)(?:(?:,\s|\n){_CAP}(?:-[\w]+)*(?:\s\d{{4,5}})?)?"
     rf"|\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s(?:rue|avenue|boulevard|bd|chemin|allée|place|impasse|quai|route|cours|passage|square)(?: (?:de la|des|du|de|d'|la|le|l'))?\s?{_CAP}(?:[ -]{_CAP})*(?:(?:,\s|\n)\d{{5}}\s{_CAP}(?:[- ][\w]+-?\w*)?)?"
-    rf"|(?:(?:Am|Im|Zum|Zur|An der|Auf der|Auf dem|Unter den) )?{_CAP}(?:-{_CAP})*(?: ?-?(?:Straße|Strasse|Weg|Platz|Allee|Gasse|Ring))?\s?\d{{1,4}} ?[a-z]?(?:(?:,\s|\n)\d{{5}}\s{_CAP}(?:[- ][\w]+)*)?"
-    rf"|(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Carrera|Vía|Via)\s?(?:(?:de la|de los|de|del) )?{_CAP}(?: {_CAP})*,?\s(?:n\.?º ?|núm\.? ?)?\d{{1,4}}(?: ?[a-zA-Z](?!\w))?(?:(?:,\s|\n)\d{{5}}\s{_CAP}(?:[- ][\w]+)*)?)(?!\w)"
+    rf"|(?:(?:Am|Im|Zum|Zur|An der|Auf der|Auf dem|Unter den) )?{_CAP}(?:-{_CAP})*\.?(?: ?-?(?:Straße|Strasse|Weg|Platz|Allee|Gasse|Ring))?\s?\d{{1,4}} ?[a-z]?(?:(?:,\s|\n)\d{{5}}\s{_CAP}(?:[- ][\w]+)*)?"
+    rf"|(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Carrera|Vía|Via)\s?(?:(?:de la|de los|de|del) )?{_CAP}(?: {_CAP})*,?\s(?:n\.?º ?|núm\.? ?)?\d{{1,4}}(?: ?[a-zA-Z](?!\w))?(?:, \d{{1,2}}[º°] ?\w*)?(?:(?:,\s|\n)\d{{5}}\s{_CAP}(?:[- ][\w]+)*)?)(?!\w)"
 )
 _GERMAN = re.compile(r"(?:weg|straße|strasse|str\.|gasse|allee|platz|ring|damm|ufer|pfad|steig|Straße|Strasse|Weg|Platz|Allee|Gasse|Ring)\s?\d|^(?:Am|Im|Zum|Zur|An der|Auf der|Auf dem|Unter den) ")
 
@@ -185,7 +185,7 @@ def _fill(pick: random.Random) -> dict[str, str]:
     if pick.random() < 0.1:
         surname += "-" + syllable(2).capitalize()
     part = pick.choice(("", "", "", "", "", "van der ", "de la ", "von "))
-    full = pick.choice((f"{given} {part}{surname}",) * 5 + (f"{given[0]}. {surname}", f"{given} {pick.choice('ABDKRT')}. {surname}", f"{surname}, {given}", f"{given} {surname}".upper()))
+    full = pick.choice((f"{given} {part}{surname}",) * 5 + (f"{given[0]}. {surname}",) * 2 + (f"{given} {pick.choice('ABDKRT')}. {surname}", f"{surname}, {given}", f"{given} {surname}".upper()))
     if pick.random() < 0.06:
         full = full.replace(" ", "\n", 1)
     word = pick.choice("index cache graph token parser loader shard buffer queue table window stream".split())
@@ -202,7 +202,7 @@ def _fill(pick: random.Random) -> dict[str, str]:
         phone, ident = phone.replace(" ", "\n", 1), ident.replace(" ", "\n", 1)
     n = str(pick.randint(1, 250))
     address = pick.choice((f"{n} {road} {pick.choice(('Street', 'Road', 'Lane', 'Row', 'Close', 'Rd', 'Ave.'))}, {town} {d(5)}", f"Flat {pick.randint(1, 30)}, {n} {road} Road, {town}", f"{n} bis, avenue {road}, {d(5)} {town}", f"{n} chemin {road}, {d(5)} {town}",
-                           f"{n}, rue {road}, {d(5)} {town}", f"{road}weg {n}, {d(5)} {town}", f"{road}straße {n}a, {d(5)} {town}", f"Am {road}berg {n}, {d(5)} {town}", f"{road}gasse {n}b, {d(5)} {town}", f"Calle {road}, {n}, {d(5)} {town}", f"{n} {road} Lane"))
+                           f"{n}, rue {road}, {d(5)} {town}", f"{road}weg {n}, {d(5)} {town}", f"{road}straße {n}a, {d(5)} {town}", f"Am {road}berg {n}, {d(5)} {town}", f"{road}gasse {n}b, {d(5)} {town}", f"{road}str. {n}b, {d(5)} {town}", f"Calle {road}, {n}, {d(5)} {town}", f"{n} {road} Lane"))
     if pick.random() < 0.15:
         at = pick.choice([i for i, c in enumerate(address) if c == " "])
         address = address[:at] + "\n" + address[at + 1 :]
