@@ -23,7 +23,7 @@ from .boosting import Boosted
 
 KINDS = ("email", "phone", "identity", "address", "name")
 #: Bound of the labelled sample, sentences for each kind; a quarter of it is held out for the threshold.
-SAMPLE = 1600
+SAMPLE = 2000
 SEED = 20
 
 #: Given names, particles, titles and street words of several languages.
@@ -185,7 +185,7 @@ def _fill(pick: random.Random) -> dict[str, str]:
     if pick.random() < 0.1:
         surname += "-" + syllable(2).capitalize()
     part = pick.choice(("", "", "", "", "", "van der ", "de la ", "von "))
-    full = pick.choice((f"{given} {part}{surname}",) * 5 + (f"{given[0]}. {surname}",) * 2 + (f"{given} {pick.choice('ABDKRT')}. {surname}", f"{surname}, {given}", f"{given} {surname}".upper()))
+    full = pick.choice((f"{given} {part}{surname}",) * 5 + (f"{given[0]}. {surname}",) * 3 + (f"{given} {pick.choice('ABDKRT')}. {surname}", f"{surname}, {given}", f"{given} {surname}".upper()))
     if pick.random() < 0.06:
         full = full.replace(" ", "\n", 1)
     word = pick.choice("index cache graph token parser loader shard buffer queue table window stream".split())
@@ -221,7 +221,7 @@ _WITH = (
     "Bitte {name} unter {phone} anrufen, wenn der {word} hängt.", "Merci d'appeler {name} au {phone} avant la mise en ligne.", "Llamar a {name} al {phone} si el {word} no responde.", "The failing payload holds {label} {identity}, please scrub it.", "rejected id {label}: {identity} for {email}",
     "Im Testdatensatz steht {label} {identity}.", "La ligne fautive contient {label} {identity}.", "El registro de prueba contiene {label}: {identity}.", "Send the {word} hardware to {address}.", "Meeting room moved to {address}; {name} has the key.", "Adresse de livraison : {address}",
     "Dirección: {address}", "Rücksendung an {address}.", "Enviar el equipo a {address}.", "Envoyer le matériel au {address}.", "I met {name} yesterday and we agreed on the {word} plan.", "The {word} fix came from {name} and {name2}.", ' * @author {name} <{email}>', 'module:{word} code:owner "{name}" ; code:contact <mailto:{email}> .',
-    "Gemeldet von {name} ({email}).", "Reviewed-by: {name}",
+    "Gemeldet von {name} ({email}).", "Reviewed-by: {name}", "{name};{phone};{email}", "{name};{email}", "{name} <{email}>", "{name} has the key.", "| {name} | {email} |",
 )
 _WITHOUT = (
     "Release {thing} moves the {word} to {thing}.", "The {thing} calls the {thing}.", "# {thing}\n", "{n} {thing}, {d2} Helper Files.", "Clone it with git@code.example:team/{word}.git and run it.", "Pinned to {word}-kit@4.{d2}.{d3} for now.", "Use @Inject on {word} and @lru_cache@2 on it.", "Write @{word}/index in the owner file.",
