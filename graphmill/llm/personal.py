@@ -130,7 +130,7 @@ def _identity(text: str, start: int, end: int) -> list[int]:
 def _address(text: str, start: int, end: int) -> list[int]:
     before, after = _context(text, start, end)
     found = text[start:end]
-    english = bool(re.search(rf"\s{_STREET}(?!\w)", found)) and found[0].isalnum()
+    english = bool(_STREETS.search(found)) and found[0].isalnum()
     french = bool(re.match(r"\d+(?:\s?\w+)?,?\s[a-zé]", found))
     german = bool(_GERMAN.search(found))
     spanish = bool(re.match(r"Calle|C/|Aven|Avda|Plaza|Paseo|Camino|Ronda|Carr|V[íi]a", found))
@@ -138,6 +138,11 @@ def _address(text: str, start: int, end: int) -> list[int]:
             bool(re.match(r"\W*(?:of the|slots|rows|classes|files)", after)), any(c.isdigit() for c in found), found[:4] == "Flat"]
 
 
+_INNER_PARTICLE = re.compile(rf"(?:^|\s){_PARTICLE}\s")
+_GOES_ON = re.compile(rf"[ ](?:{_CAP}|{_PARTICLE} {_CAP})")
+_CAPITAL_LAST = re.compile(rf"(?:{_CAP}|[A-Z]\.)$")
+
+
 def _name(text: str, start: int, end: int) -> list[int]:
     before, after = _context(text, start, end)
     found = text[start:end]
@@ -153,27 +158,63 @@ def _name(text: str, start: int, end: int) -> list[int]:
     last = before.rstrip(" ").rpartition(" ")[2]
     low = surname.lower()
     return [
-        known, other, reverse, initial, upper and len(given) > 2, bool(re.search(rf"(?:^|\s){_PARTICLE}\s", found)), "-" in surname, bool(_TITLE.search(before)), bool(_PERSON_CUE.search(before)), bool(_PERSON_NEXT.match(after)),
-        bool(re.match(rf"[ ](?:{_CAP}|{_PARTICLE} {_CAP})", after)), bool(re.match(rf"(?:{_CAP}|[A-Z]\.)$", last)) and not _TITLE_WORD.match(last), any(w in _NO_NAME or w.capitalize() in _NO_NAME for w in (given, surname)), bool(_TITLE_WORD.match(given)),
-        min(len(surname), 15), bool(re.search(rf"\b{re.escape(low)}s?\b", text)) if len(text) < 50_000 else 0, bool(re.match(r"[-]\w", after)), start == 0 or text[start - 1] == "\n", bool(re.search(r"[#*]\s*$", before)),
+        known, other, reverse, initial, upper and len(given) > 2, bool(_INNER_PARTICLE.search(found)), "-" in surname, bool(_TITLE.search(before)), bool(_PERSON_CUE.search(before)), bool(_PERSON_NEXT.match(after)),
+        bool(_GOES_ON.match(after)), bool(_CAPITAL_LAST.match(last)) and not _TITLE_WORD.match(last), any(w in _NO_NAME or w.capitalize() in _NO_NAME for w in (given, surname)), bool(_TITLE_WORD.match(given)),
+        min(len(surname), 15), f" {low} " in text or f" {low}s " in text, bool(re.match(r"[-]\w", after)), start == 0 or text[start - 1] == "\n", bool(re.search(r"[#*]\s*$", before)),
     ]
 
 
 _PROPOSE = {"email": (_EMAILS, _email), "phone": (_PHONES, _phone), "identity": (_IDS, _identity), "address": (_ADDRESSES, _address), "name": (_NAMES, _name)}
-
-
-def proposals(text: str, kind: str) -> Iterator[tuple[int, int, list[int]]]:
-    """(start, end, features) of each span that may be of the kind."""
-    pattern, describe = _PROPOSE[kind]
-    group = 1 if kind == "name" else 0
-    for m in pattern.finditer(text):
-        start, end = m.span(group)
+#: Where a proposal can begin: all patterns but that of emails start with one of these, so that only their places are tried.
+_BEGINS = re.compile(r"[0-9+(A-ZÀ-ÖØ-ÞŁŚŻŽŠČ][0-9A-ZÀ-ÖØ-ÞŁŚŻŽŠČ]*")
+_AT = re.compile(r"@|%40|[\[({<] ?(?:at|AT|arroba) ?[\])}>]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
+_LOCAL = re.compile(r"[A-Za-z0-9][\w.+%-]{0,63} ?\Z")
+_LEADING = re.compile(rf"(?<![\w-]){_PARTICLE}[ \n]\Z")
+_STREETS = re.compile(rf"\s{_STREET}(?!\w)")
+_ABROAD = re.compile(r"\d+(?:\s?\w+)?,?\s[a-zé]|Calle|C/|Aven|Avda|Plaza|Paseo|Camino|Ronda|Carr|V[íi]a")
+
+
+def _spans(text: str) -> Iterator[tuple[str, int, int]]:
+    past = {"email": 0, "phone": 0, "identity": 0, "address": 0}
+    for m in _AT.finditer(text):
+        low = max(past["email"], m.start() - 66)
+        if local := _LOCAL.search(text[low : m.start()]):
+            if found := _EMAILS.match(text, low + local.start()):
+                past["email"] = found.end()
+                yield "email", found.start(), found.end() - found[0].endswith("-")
+    for m in _BEGINS.finditer(text):
+        at = m.start()
+        first = text[at]
+        if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            continue
+        if first in "+(" or first.isdigit():
+            kinds: tuple[str, ...] = ("phone",) if first in "+(" else ("phone", "identity", "address")
+            for begin in (at, at + 1) if first == "(" else (at,):
+                for kind in kinds if begin == at else ("phone", "identity"):
+                    if begin >= past[kind] and (found := _PROPOSE[kind][0].match(text, begin)):
+                        past[kind] = found.end()
+                        yield kind, found.start(), found.end()
+            continue
+        if found := _NAMES.match(text, at):
+            yield "name", at, found.end(1)
+        if at > 3 and text[at - 1] in " \n" and (lead := _LEADING.search(text, max(0, at - 9), at)) and (found := _NAMES.match(text, lead.start())):
+            yield "name", lead.start(), found.end(1)
+        window = text[at : at + 60]
+        if any(map(window.__contains__, "0123456789")):
+            for kind in ("identity", "address"):
+                if at >= past[kind] and (found := _PROPOSE[kind][0].match(text, at)):
+                    past[kind] = found.end()
+                    yield kind, found.start(), found.end()
+
+
+def proposals(text: str) -> Iterator[tuple[str, int, int, list[int]]]:
+    """(kind, start, end, features) of each span that may be personal information."""
+    for kind, start, end in _spans(text):
         if kind == "address":
-            if not (re.search(rf"\s{_STREET}(?!\w)", text[start:end]) or _GERMAN.search(text[start:end]) or re.match(r"\d+(?:\s?\w+)?,?\s[a-zé]|Calle|C/|Aven|Avda|Plaza|Paseo|Camino|Ronda|Carr|V[íi]a", text[start:end])):
+            found = text[start:end]
+            if not (_STREETS.search(found) or _GERMAN.search(found) or _ABROAD.match(found)):
                 continue
-        if kind == "email" and text[start:end].endswith("-"):
-            end -= 1
-        yield start, end, describe(text, start, end)
+        yield kind, start, end, _PROPOSE[kind][1](text, start, end)
 
 
 def _fill(pick: random.Random) -> dict[str, str]:
@@ -248,10 +289,9 @@ def models(sample: int = SAMPLE, seed: int = SEED) -> dict[str, Boosted]:
                         truth.add((kind, len(text), len(text) + len(values[field])))
                     text += values[field]
             text += pick.choice(("", " The old index keeps 30 MB.", "\n"))
-            for kind in KINDS:
-                for start, end, features in proposals(text, kind):
-                    good = any(k == kind and a == start and (b == end or kind == "address") for k, a, b in truth)
-                    rows[kind].append((features, int(good)))
+            for kind, start, end, features in proposals(text):
+                good = any(k == kind and a == start and (b == end or kind == "address") for k, a, b in truth)
+                rows[kind].append((features, int(good)))
     out = {}
     for kind, found in rows.items():
         x, y = np.array([f for f, _ in found], dtype=np.int64), np.array([g for _, g in found])
@@ -267,8 +307,11 @@ def find(texts: list[str], trees: dict[str, Boosted]) -> list[list[tuple[str, in
     scores the longer; an email is never split by what looks like a name in it.
     """
     kept: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
-    for kind in KINDS:
-        found = [(n, s, e, f) for n, text in enumerate(texts) for s, e, f in proposals(text, kind)]
+    proposed: dict[str, list[tuple[int, int, int, list[int]]]] = {kind: [] for kind in KINDS}
+    for n, text in enumerate(texts):
+        for kind, start, end, features in proposals(text):
+            proposed[kind].append((n, start, end, features))
+    for kind, found in proposed.items():
         if not found:
             continue
         score = trees[kind].predict(np.array([f for *_, f in found], dtype=np.int64))
