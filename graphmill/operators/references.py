@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key that holds more than this share of all references is joined in SALTS parts; at most 1 / HOT_SHARE keys can be hot.
@@ -61,6 +61,11 @@ def relationship_references(rel: DataFrame) -> DataFrame:
     ).select("relationship_id", "rel_type", "at", "ref.side", "ref.key").where("key is not null")
 
 
+def _same() -> Column:
+    """The same key at the same time, where no time is the same as no time."""
+    return (F.col("r.key") == F.col("m.key")) & F.col("r.at").eqNullSafe(F.col("m.at"))
+
+
 def orphan_relationships(rel: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
     """References of relationships to entities that were not there when the row came in.
 
@@ -69,14 +74,14 @@ def orphan_relationships(rel: DataFrame, entities: DataFrame, shared: DataFrame)
     """
     refs = relationship_references(rel)
     missing = orphans(refs, living_spans(entities, "entity_id", "ingested_at", "deleted_at"), shared.select(F.col("entity_id").alias("key")))
-    return refs.join(missing, ["key", "at"], "left_semi")
+    return refs.alias("r").join(missing.alias("m"), _same(), "left_semi")
 
 
 def orphan_report(rel: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
     """Orphans per side, relationship type and month against all distinct references of that group."""
     refs = relationship_references(rel).select("relationship_id", "rel_type", "side", "key", "at").distinct()
     missing = orphans(refs, living_spans(entities, "entity_id", "ingested_at", "deleted_at"), shared.select(F.col("entity_id").alias("key")))
-    flagged = refs.join(missing.withColumn("gone", F.lit(1)), ["key", "at"], "left")
-    return flagged.groupBy("rel_type", "side", F.date_format(F.col("at"), "yyyy-MM").alias("period")).agg(
+    flagged = refs.alias("r").join(missing.withColumn("gone", F.lit(1)).alias("m"), _same(), "left")
+    return flagged.groupBy("rel_type", "side", F.date_format(F.col("r.at"), "yyyy-MM").alias("period")).agg(
         F.count(F.lit(1)).alias("n_references"), F.count("gone").alias("n_orphans")
     )

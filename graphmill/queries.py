@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, record_queries, structure
+from .plans import graph_queries, record_queries, search_queries, structure
 
-_PARTS = (graph_queries, record_queries, structure)
+_PARTS = (graph_queries, record_queries, search_queries, structure)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
