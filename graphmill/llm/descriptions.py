@@ -212,7 +212,7 @@ def code_of(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     found = F.when(closes == 0, F.size("lines")).otherwise(F.col("start_line") + closes - F.when(indented, 1).otherwise(0))
     end = F.when(F.col("end_line") > F.col("start_line"), F.col("end_line")).otherwise(found).cast("int")
     rows = pairs.join(files, ["file_id", "version"]).withColumn("lines", lines).where(F.col("start_line").between(1, F.size("lines")))
-    return rows.withColumn("end_line", end).withColumn("code", F.rtrim(F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)), "\n"))).drop("lines", "source_code")
+    return rows.withColumn("end_line", end).withColumn("code", F.regexp_replace(F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)), "\n"), r"\s+\z", "")).drop("lines", "source_code")
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

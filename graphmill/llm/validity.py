@@ -53,7 +53,7 @@ _JAVA_ANY = (
 )
 _JAVA = {
     "(": _never(r"^[o=.?:*>,]", r"[:*,]$", *_JAVA_ANY), "[": _never(r"^[o=.?:*>;,]", r"[:*,]$", *_JAVA_ANY),
-    "{": _never(r"^[o=.?:>]", r"(?<!D)(?<!.):$", r";.*[^;K]$", r"ii$", r"^[^,;]*kP$", *_JAVA_ANY), "": _never("X"),
+    "{": _never(r"^[o=.?:>]", r"(?<!D)(?<!.):$", r";.*[^;K]$", r"ii$", r"(?:^|[;K])m*i[<>i,.B]*i=[^;]*$", r"^[^,;]*kP$", *_JAVA_ANY), "": _never("X"),
 }
 _JAVA_FILE = re.compile(r"(?:(?:@i(?:\.i)*P?)*Gi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*))*;|;)*(?:(?:m|D|@i(?:\.i)*P?)*@?Ci[^;K=]*K|;)*")
 _GO_ANY = (
