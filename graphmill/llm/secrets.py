@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -209,7 +210,7 @@ def scan(files: DataFrame, surfaces: DataFrame) -> DataFrame:
     The surfaces are written to the shared folder and read by the workers block by block, at most BLOCK at a time:
     neither the driver nor one task holds more, and each further block is one more pass over the files.
     """
-    path = f"{shared_dir(files.sparkSession)}/surfaces-{abs(hash((id(files), id(surfaces)))):x}-{_stamp()}"
+    path = f"{shared_dir(files.sparkSession)}/surfaces-{uuid.uuid4().hex}"
     n = surfaces.count()
     blocks = max(1, -(-n // BLOCK))
     surfaces.withColumn("block", F.pmod(F.xxhash64("surface"), F.lit(blocks)).cast("int")).write.parquet(path)
@@ -229,12 +230,6 @@ def scan(files: DataFrame, surfaces: DataFrame) -> DataFrame:
     return found.where(F.size("spans") > 0)
 
 
-def _stamp() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def lines_of(text: str, spans: list[dict]) -> list[int]:
     """Lines, from 1, on which the spans begin; each once."""
     breaks = [m.start() for m in re.finditer("\n", text)]
