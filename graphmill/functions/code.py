@@ -61,3 +61,79 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
 def size_tier(n: Column) -> Column:
     bounds = ((500, "tiny"), (2_000, "small"), (10_000, "medium"), (50_000, "large"), (100_000, "huge"))
     return reduce(lambda c, b: c.when(n < b[0], b[1]), bounds[1:], F.when(n < bounds[0][0], bounds[0][1])).otherwise("vast")
+
+
+#: Decision points of the languages; each hit adds one to the cyclomatic complexity.
+DECISIONS = {
+    "typescript": r"\b(?:if|case|while|do|for)\b|\?(?![.?:])|&&|\|\|", "javascript": r"\b(?:if|case|while|do|for)\b|\?(?![.?:])|&&|\|\|", "python": r"\b(?:if|elif|while|for|try|with)\b", "java": r"\b(?:if|else|while|for|switch|case|catch)\b|\?",
+    "go": r"\b(?:if|else|for|switch|case|select)\b", "rust": r"\b(?:if|while|for|loop|match)\b|\?;|\.unwrap\(|\.expect\(|&&|\|\|", "cpp": r"\b(?:if|for|while|do|switch|catch|throw)\b|&&|\|\||\?",
+}
+#: Languages whose cognitive complexity is taken as four fifths of the cyclomatic one.
+_SHARED = ("java", "go")
+
+
+def complexity(language: Column, text: Column) -> Column:
+    """Cyclomatic complexity of a text in its language, null for other languages."""
+    return reduce(lambda c, kv: c.when(language == kv[0], 1 + count_of(text, kv[1])), list(DECISIONS.items())[1:], F.when(language == "typescript", 1 + count_of(text, DECISIONS["typescript"])))
+
+
+def cognitive(language: Column, text: Column) -> Column:
+    cc = complexity(language, text)
+    return F.when(language.isin(*_SHARED), F.floor(cc * 0.8)).otherwise(cc + count_of(text, r"\b(?:try|catch|except)\b"))
+
+
+def calls(files: DataFrame, text: str) -> DataFrame:
+    """`line_no, receiver, name` of the calls in each line; the receiver is null for plain functions, `new` for constructors."""
+    keep = [c for c in files.columns if c != text]
+    lines = files.select(*keep, F.posexplode(F.split(text, "\n")).alias("_n", "_line")).where(F.contains("_line", F.lit("(")))
+    found = F.regexp_extract_all("_line", F.lit(r"(new\s+[A-Z]\w*|(?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*)\("), F.lit(1))
+    rows = lines.select(*keep, (F.col("_n") + 1).alias("line_no"), F.explode(found).alias("_c"))
+    plain = ~F.col("_c").isin("if", "for", "while", "switch", "catch", "return", "function", "def", "func", "elif", "and", "or", "not", "in", "print")
+    made = F.col("_c").startswith("new ")
+    return rows.where(plain).select(
+        *keep, "line_no", F.when(made, "new").otherwise(F.nullif(F.regexp_extract("_c", r"^(\w+)\.", 1), F.lit(""))).alias("receiver"), F.regexp_extract("_c", r"(\w+)$", 1).alias("name")
+    )
+
+
+def python_ast(files: DataFrame, text: str) -> DataFrame:
+    """Classes, functions and imports of Python texts by their syntax trees: `kind, name, line_no, end_line, parent, is_async`.
+
+    Texts that do not parse have none. The first column of the files is kept as `path`.
+    """
+    import ast
+    import warnings
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def facts(source: str) -> list[tuple]:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return []
+        out, stack = [], [(tree, None)]
+        while stack:
+            node, parent = stack.pop()
+            for child in ast.iter_child_nodes(node):
+                inner = parent
+                if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                    kind = "class" if isinstance(child, ast.ClassDef) else "method" if isinstance(node, ast.ClassDef) else "function"
+                    out.append((kind, child.name, child.lineno, child.end_lineno, parent, isinstance(child, ast.AsyncFunctionDef)))
+                    inner = child.name
+                elif isinstance(child, ast.Import | ast.ImportFrom):
+                    names = [a.name for a in child.names] if isinstance(child, ast.Import) else ["." * child.level + (child.module or "")]
+                    out += [("import", n, child.lineno, child.end_lineno, parent, False) for n in names]
+                stack.append((child, inner))
+        return out
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+        names = ["path", "kind", "name", "line_no", "end_line", "parent", "is_async"]
+        for batch in batches:
+            found = [(p, *f) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in facts(t or "")]
+            columns = list(zip(*found, strict=True)) if found else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    return files.select(F.col(files.columns[0]).cast("string"), text).mapInArrow(rows, "path string, kind string, name string, line_no int, end_line int, parent string, is_async boolean")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, record_queries, search_queries, structure, version_queries
+from .plans import analysis_queries, graph_queries, record_queries, search_queries, structure, version_queries
 
-_PARTS = (graph_queries, record_queries, search_queries, version_queries, structure)
+_PARTS = (analysis_queries, graph_queries, record_queries, search_queries, version_queries, structure)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
