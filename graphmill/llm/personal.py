@@ -2,8 +2,9 @@
 
 High-recall patterns propose spans of five kinds, which may overlap. Each proposal is described by features of its
 format and its context, boosted trees per kind give it a score, and what passes the threshold calibrated for its kind is
-kept, the best where spans overlap. The trees are fitted on the driver at each call from SAMPLE sentences a kind, put
-together by a seeded generator from templates with and without personal information; no row of the data is used.
+kept, the best where spans overlap. The trees are fitted on the driver, once a process, from
+twice SAMPLE sentences that a seeded generator puts together from templates with and without personal information; no
+row of the data is used.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from ..session import table
 from .boosting import Boosted
 
 KINDS = ("email", "phone", "identity", "address", "name")
-#: Bound of the labelled sample, sentences for each kind; a quarter of it is held out for the threshold.
+#: Bound of the labelled sample: so many sentences with and as many without personal information. A quarter of the
+#: proposals in them is held out for the thresholds.
 SAMPLE = 2000
 SEED = 20
 
