@@ -43,11 +43,11 @@ def contract(links: DataFrame, most_rounds: int = 200) -> tuple[list[DataFrame],
     records: list[DataFrame] = []
     cycles: list[DataFrame] = []
     for turn in range(most_rounds):
-        if left.isEmpty():
+        n = left.agg(F.count(F.lit(1)).alias("rest"), F.count_if(F.col("child") == F.col("parent")).alias("loops")).first()
+        if not n.rest:
             break
-        loops = left.where("child = parent")
-        if not loops.isEmpty():
-            cycles.append(cut(loops.select(F.explode(F.concat("via", F.array("child"))).alias("member"))))
+        if n.loops:
+            cycles.append(cut(left.where("child = parent").select(F.explode(F.concat("via", F.array("child"))).alias("member"))))
             left = left.where("child <> parent")
         kids = left.groupBy(F.col("parent").alias("p")).agg(F.count(F.lit(1)).alias("kids"))
         marked = left.join(kids, F.col("child") == F.col("p"), "left").select(
