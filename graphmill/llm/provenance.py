@@ -25,7 +25,9 @@ from .lexing import lexer
 KINDS = ("vendored", "generated", "minified", "data")
 #: The library phrases are kept in every worker, which is checked; a larger library needs a join instead.
 MOST_PHRASES = 500_000
-PAIRS_A_ROUND = 12
+#: Rules are numbered above all code points. A pair is replaced together with one that is at most so much more frequent.
+FIRST_RULE = 0x110000
+NEARLY = 0.7
 SHARED_PART = 0.6
 DENSE_PART = 0.7
 
@@ -44,40 +46,65 @@ _PLAIN_LINE = re.compile(r"\s*(?://|#|\*|/\*|return\b|for\b|if\b|else\b|default\
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|\b(?:0x[0-9a-fA-F]+|\d+)\b")
 
 
-def repair(kinds: str, rounds: int = 14) -> tuple[int, int]:
-    """(length of the grammar, longest reuse of a rule) of a string after Re-Pair.
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Of rising places, those that do not overlap: in a run of neighbours every other one."""
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    run = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    return at[run % 2 == 0]
 
-    Each round counts all pairs and replaces the most frequent ones that do not share a symbol, each by a new rule;
-    pairs that occur fewer than three times gain nothing. Rules cost two symbols each.
+
+def repair(kinds: str) -> tuple[int, int]:
+    """(length of the grammar, longest reuse of a rule) of a string after Re-Pair, which ends when no pair occurs three times.
+
+    Each round counts all pairs and replaces, by a new rule each, the most frequent one and those nearly as frequent
+    that share no symbol with one before. Rarer pairs wait for a later round, so that the grammar is about as short as
+    with one pair a round. Rules cost two symbols each.
     """
-    rules, symbol, most = 0, 0xE000, 0
-    for _ in range(rounds):
-        if len(kinds) < 4:
-            break
-        codes = np.frombuffer(kinds.encode("utf-16-le"), np.uint16).astype(np.uint32)
-        pairs, counts = np.unique((codes[:-1] << 16) | codes[1:], return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
-        used: set[str] = set()
-        for n in top:
-            if counts[n] < 3:
+    codes, symbol, most = np.frombuffer(kinds.encode("utf-32-le"), np.uint32).astype(np.int64), FIRST_RULE, 0
+    while len(codes) > 5:
+        places = (codes[:-1] << 32) | codes[1:]
+        pairs, counts = np.unique(places, return_counts=True)
+        often = np.flatnonzero(counts >= 3)
+        often = often[np.argsort(-counts[often], kind="stable")]
+        used: set[int] = set()
+        chosen: list[int] = []
+        least = 3.0
+        for pair, n in zip(pairs[often].tolist(), counts[often].tolist(), strict=True):
+            if n < least:
                 break
-            a, b = chr(int(pairs[n]) >> 16), chr(int(pairs[n]) & 0xFFFF)
-            if a in used or b in used or symbol >= 0xF8FF:
+            a, b = pair >> 32, pair & 0xFFFFFFFF
+            if a in used or b in used:
                 continue
+            if a == b:
+                n = len(_every_other(np.flatnonzero(places == pair)))
+                if n < least:
+                    continue
+            if not chosen:
+                least = max(3.0, n * NEARLY)
             used |= {a, b}
-            kinds = kinds.replace(a + b, chr(symbol))
-            symbol, rules, most = symbol + 1, rules + 1, max(most, int(counts[n]))
-        if not used:
+            chosen.append(pair)
+            most = max(most, n)
+        if not chosen:
             break
-    return len(kinds) + 2 * rules, most
+        rules = np.sort(np.array(chosen))
+        to = np.minimum(np.searchsorted(rules, places), len(rules) - 1)
+        at = _every_other(np.flatnonzero(rules[to] == places))
+        codes[at] = symbol + to[at]
+        codes = np.delete(codes, at + 1)
+        symbol += len(rules)
+    return len(codes) + 2 * (symbol - FIRST_RULE), most
 
 
 def made_by_grammar(kinds: str) -> bool:
-    """Whether the token classes shrink as only those of generated or minified code do."""
+    """Whether the token classes shrink as only those of generated or minified code do.
+
+    The grammar of a hand-written file grows about with the root of its length. On scale 0.1 it had 6.8 times the root
+    or more, generated files at most 3.4 times; from some 14,000 tokens on a share of the length decides.
+    """
     n = len(kinds)
     if n < 250 or sum(map(kinds.count, "fw")) < 8:
         return False
-    return repair(kinds)[0] / n < min(0.28, 0.10 + 60 / n)
+    return repair(kinds)[0] / n < max(0.04, 4.8 / n**0.5)
 
 
 def dense_part(text: str) -> float:

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import ast
 import json
+import random
 from datetime import datetime as T
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphmill.llm import descriptions, provenance, secrets, validity
+from graphmill.llm.lexing import lexer
 
 ENTITY = "entity_id string, version string, entity_type string, repository_id string, file_path string, source_code string, ingested_at timestamp_ntz, metadata map<string,string>, kind string"
 
@@ -100,6 +102,27 @@ def test_repair_shrinks_repetition():
     assert provenance.repair("".join(chr(200 + i) for i in range(300)))[0] == 300
 
 
+def test_repair_goes_on_until_no_pair_occurs_three_times():
+    rng = random.Random(3)
+    unit = "".join(rng.choice("fwisnk()[]{}.,:=o+") for _ in range(400))
+    assert provenance.repair(unit * 40)[0] < 2.2 * len(unit)
+    wide = "".join(chr(0x4E00 + i) for i in range(9000)) * 3
+    assert provenance.repair(wide)[0] < len(wide) * 0.7
+    assert provenance.repair("aaaaaa")[0] == 5 and provenance.repair("aaaa")[0] == 4
+
+
+def test_a_long_unit_written_many_times_is_generated():
+    words = "alpha beta gamma delta omega kappa sigma theta".split()
+    rng = random.Random(5)
+    lines = []
+    for _ in range(60):
+        a, b, c = (rng.choice(words) for _ in range(3))
+        lines.append(rng.choice((f"    {a} = {b}({c}, {rng.randrange(99)})", f"    if {a} < {b}: {c} += 1", f"    {a}.{b}[{c}] = not {a}", f"    for {a} in {b}.{c}(): yield {a} - 1", f"    {a}, {b} = {b} * 2, [{c}, *{a}]")))
+    unit = "def run(self, a, b):\n" + "\n".join(lines) + "\n    return a\n\n\n"
+    assert not provenance.made_by_grammar(lexer("python").kinds(unit))
+    assert provenance.made_by_grammar(lexer("python").kinds(unit * 20))
+
+
 GETTERS = "class A:\n" + "".join(f"    def get_f{i}(self):\n        return self.f{i}\n\n    def set_f{i}(self, value):\n        self.f{i} = value\n\n" for i in range(40))
 HAND = '"""Keeps things."""\nimport os\n\n\ndef read(path, limit=None):\n    with open(path) as f:\n        rows = [r for r in f if r.strip()]\n    return rows[:limit]\n\n\nnotice = "Code generated by x. DO NOT EDIT."\nTABLE = [1, 2, 3, 5, 8]\n'
 
