@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,11 @@ _REMARK = re.compile(r"\s*(?://|#|/?\*|--|<!--|;)")
 _SAYS_MADE = re.compile(
     r"(?i)\bcode generated by\b|@generated\b|\bauto-?generated (?:file|by|from|code)\b|<auto-?generated>|\bautomatically (?:created|generated|produced)\b|\bgenerated (?:automatically|by the [\w ]+ compiler)\b|\bdo not (?:edit|modify)\b"
 )
+_HEADER = re.compile(
+    r"\s*(?:(?P<remark>/\*(?:[^*]|\*(?!/))*\*/|<!--[\s\S]*?-->|(?://|#|/?\*|--|<!--|;)[^\n]*)"
+    r"|(?:import|from\s+[\w.]+\s+import)\s*\([^)]*\)|import\s[^;\"'()=]*\sfrom\b[^\n]*|(?:package|import|from|using)\s[^\n]*|([\"'])use \w+\2;?|<\?[\s\S]*?\?>|<!(?i:doctype)[^>]*>"
+    r"|[rRuU]?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''))"
+)
 _LANGUAGE = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "java": "java", "go": "go"}
 _PLAIN_LINE = re.compile(r"\s*(?://|#|\*|/\*|return\b|for\b|if\b|else\b|default\b|import\b|from\b|package\b|case\b|switch\b|break\b|try\b|[})\]])")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|\b(?:0x[0-9a-fA-F]+|\d+)\b")
@@ -146,9 +152,41 @@ def is_minified(text: str) -> bool:
     return long > 0.6 * len(text)
 
 
-def says_made(text: str) -> bool:
-    """Whether a remark among the first lines says that a tool wrote the file; string literals do not count."""
-    return any(_REMARK.match(line) and _SAYS_MADE.search(line) for line in text[:4000].split("\n")[:8])
+def _header(text: str) -> Iterator[str]:
+    """The remarks before the first code; imports, package lines, directives and a doc string do not end the header."""
+    at = 1 if text[:1] == "\ufeff" else 0
+    while m := _HEADER.match(text, at):
+        at = m.end()
+        if m["remark"]:
+            yield m["remark"]
+
+
+def _footer(text: str, language: str | None) -> Iterator[str]:
+    """The remarks after the last code. In a language with a lexer that tells remarks from what stands in literals."""
+    if language:
+        of = lexer(language)
+        for token in reversed(of.tokens(text)):
+            if token != "\n" and of.classes[token]:
+                return
+            yield token
+        return
+    end = len(text.rstrip())
+    while end > 0:
+        at = next((text.rfind(a, 0, end) for z, a in (("*/", "/*"), ("-->", "<!--")) if text.endswith(z, 0, end)), -1)
+        if at < 0:
+            at = text.rfind("\n", 0, end) + 1
+            if not _REMARK.match(text, at, end):
+                return
+        yield text[at:end]
+        end = len(text[:at].rstrip())
+
+
+def says_made(text: str, language: str | None = None) -> bool:
+    """Whether a remark before or after all code says that a tool wrote the file; string literals do not count."""
+    low = text.lower()
+    if not any(map(low.__contains__, ("generated", "automatically", "do not edit", "do not modify"))) or not _SAYS_MADE.search(text):
+        return False
+    return any(map(_SAYS_MADE.search, _header(text))) or any(map(_SAYS_MADE.search, _footer(text, language)))
 
 
 def phrases(text: str) -> set[str]:
@@ -181,11 +219,11 @@ class Judge:
             return "minified"
         if not text:
             return None
-        if says_made(text):
+        language = _LANGUAGE.get(name.rpartition(".")[2].lower())
+        if says_made(text, language):
             return "generated"
         if self.copied(text):
             return "vendored"
-        language = _LANGUAGE.get(name.rpartition(".")[2].lower())
         if language is None:
             return None
         if is_minified(text):

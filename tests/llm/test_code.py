@@ -123,6 +123,24 @@ def test_a_long_unit_written_many_times_is_generated():
     assert provenance.made_by_grammar(lexer("python").kinds(unit * 20))
 
 
+LICENCE = ["Copyright 2024 the owners.", "", *(f"Clause {i}: the rows are given away as they are." for i in range(90))]
+MADE = "Code generated by x v1.2. DO NOT EDIT."
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "made"),
+    [
+        ("go", "".join(f"// {x}\n" for x in [*LICENCE, MADE]) + "\npackage a\n", True), ("java", "/*\n" + "\n".join(LICENCE) + "\n*/\npackage a;\nimport b.C;\n\n/* \n  " + MADE + " */\nclass A { }\n", True),
+        ("python", '"""Rows of x."""\nfrom a import (\n    b,\n    c,\n)\n' + "\n" * 9 + f"# {MADE}\nd = b(c)\n", True), ("typescript", "import {\n  a,\n  b,\n} from './c';\nexport const x = a(b);\n// <auto-generated> by x </auto-generated>\n\n", True),
+        ("python", "a = 1\n" * 2000 + f"# {MADE}\n", True), (None, "a: 1\nb: 2\n<!--\n" + MADE + "\n-->\n\n", True), (None, "a: 1\n" * 900 + f"# {MADE}\n#\n", True), (None, "#!/bin/sh\n" + "# x\n" * 20 + f"# {MADE}\nls\n", True),
+        ("python", f'a = """\n# {MADE}\n"""\n', False), ("python", f"a = 1\n# {MADE}\nb = 2\n", False), ("java", f'class A {{\n  // {MADE}\n  String s = "{MADE}";\n}}\n', False), ("javascript", f"const a = `\n// {MADE}\n`;\n", False),
+        ("javascript", f"const banner = '{MADE}';\n", False), ("go", f'package a\n\nvar banner = "{MADE}"\n', False), (None, f"a: {MADE}\n", False), ("python", "", False), ("python", f'"""Strips {MADE} from files."""\na = 1\n', False),
+    ],
+)
+def test_marks_of_tools_before_and_after_the_code(language, text, made):
+    assert provenance.says_made(text, language) == made
+
+
 GETTERS = "class A:\n" + "".join(f"    def get_f{i}(self):\n        return self.f{i}\n\n    def set_f{i}(self, value):\n        self.f{i} = value\n\n" for i in range(40))
 HAND = '"""Keeps things."""\nimport os\n\n\ndef read(path, limit=None):\n    with open(path) as f:\n        rows = [r for r in f if r.strip()]\n    return rows[:limit]\n\n\nnotice = "Code generated by x. DO NOT EDIT."\nTABLE = [1, 2, 3, 5, 8]\n'
 
