@@ -167,9 +167,10 @@ def _name(text: str, start: int, end: int) -> list[int]:
 
 
 _PROPOSE = {"email": (_EMAILS, _email), "phone": (_PHONES, _phone), "identity": (_IDS, _identity), "address": (_ADDRESSES, _address), "name": (_NAMES, _name)}
-#: Where a proposal can begin: all patterns but that of emails start with one of these, so that only their places are tried.
-_BEGINS = re.compile(r"[0-9+(A-ZÀ-ÖØ-ÞŁŚŻŽŠČ][0-9A-ZÀ-ÖØ-ÞŁŚŻŽŠČ]*")
-_AT = re.compile(r"@|%40|[\[({<] ?(?:at|AT|arroba) ?[\])}>]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
+#: Where a proposal can begin: all patterns but those of emails and of names after a particle start with one of these,
+#: and none inside of a run, so that only their places are tried.
+_BEGINS = re.compile(r"[+(]|[\dA-ZÀ-ÖØ-ÞŁŚŻŽŠČ]+")
+_AT = re.compile(r"@|%40|[\[({<] ?(?:at|arroba|@) ?[\])}>]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
 _LOCAL = re.compile(r"[A-Za-z0-9][\w.+%-]{0,63} ?\Z")
 _LEADING = re.compile(rf"(?<![\w-]){_PARTICLE}[ \n]\Z")
 _STREETS = re.compile(rf"\s{_STREET}(?!\w)")
@@ -189,24 +190,24 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
         first = text[at]
         if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
             continue
-        if first in "+(" or first.isdigit():
-            kinds: tuple[str, ...] = ("phone",) if first in "+(" else ("phone", "identity", "address")
-            for begin in (at, at + 1) if first == "(" else (at,):
-                for kind in kinds if begin == at else ("phone", "identity"):
-                    if begin >= past[kind] and (found := _PROPOSE[kind][0].match(text, begin)):
-                        past[kind] = found.end()
-                        yield kind, found.start(), found.end()
-            continue
-        if found := _NAMES.match(text, at):
-            yield "name", at, found.end(1)
-        if at > 3 and text[at - 1] in " \n" and (lead := _LEADING.search(text, max(0, at - 9), at)) and (found := _NAMES.match(text, lead.start())):
-            yield "name", lead.start(), found.end(1)
-        window = text[at : at + 60]
-        if any(map(window.__contains__, "0123456789")):
-            for kind in ("identity", "address"):
-                if at >= past[kind] and (found := _PROPOSE[kind][0].match(text, at)):
-                    past[kind] = found.end()
-                    yield kind, found.start(), found.end()
+        if first in "+(":
+            kinds: tuple[str, ...] = ("phone",)
+        elif first.isdecimal():
+            kinds = ("phone", "identity", "address")
+        else:
+            kinds = ("identity", "address")
+            if found := _NAMES.match(text, at):
+                yield "name", at, found.end(1)
+            if at > 2 and text[at - 1] in " \n":
+                begin = max(0, at - 9)
+                while lead := _LEADING.search(text, begin, at):
+                    begin = lead.start() + 1
+                    if found := _NAMES.match(text, lead.start()):
+                        yield "name", lead.start(), found.end(1)
+        for kind in kinds:
+            if at >= past[kind] and (found := _PROPOSE[kind][0].match(text, at)):
+                past[kind] = found.end()
+                yield kind, at, found.end()
 
 
 def proposals(text: str) -> Iterator[tuple[str, int, int, list[int]]]:

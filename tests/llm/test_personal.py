@@ -51,3 +51,23 @@ def test_mentions_and_placeholders(spark):
     assert clean[1] == text.replace("Nadia Wynhagen", "[NAME]").replace("+1-555-555-0113", "[PHONE]").replace("n.wyn+x@dev.example.net", "[EMAIL]")
     assert clean[2] == "" and clean[3] is None and clean[4] == "nothing here"
     assert personal.mention_rows(docs.limit(0)).count() == 0
+
+
+def test_proposals_are_those_of_the_patterns():
+    import random
+
+    def wanted(text):
+        for kind, (pattern, _) in personal._PROPOSE.items():
+            for m in pattern.finditer(text):
+                yield kind, m.start(), m.end(1) if kind == "name" else m.end() - (kind == "email" and m[0].endswith("-"))
+
+    pick = random.Random(7)
+    texts = [
+        "Met (Anna Schmidt) at (12 High Street, Leeds).", "(987-65-4321) or (Am Waldberg 12, 12345 Koln)", "anna [@] host.org, bo(@)corp.example and cy{ @ }x.org", "de la Cruz, Anna", "al Sayed, Omar", "\nvan der Berg, Eva (van de Meer, Jan)",
+        "Passport CFGHJKLMN is void", "Unter den " + "Alten" * 12 + "linden 12, 12345 Koln", "x (+44) 7700 900123 (+1 555 555 0100)", "\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669 and +\u0661\u0662\u0663 4567890", "a%40b.org%40c.de x@y.org@z.org _a@b.org " + "l" * 70 + "@b.org",
+        "", "(", "@", "+", "ann at corp dot example or BO AT CORP DOT EXAMPLE",
+    ]
+    parts = ["(", ") ", "[", "] ", "@", " at ", " dot ", "+", " ", "\n", ", ", "-", ".", "/", "de la ", "van ", "12", "0049 ", "07700 900123", "Anna", "Schmidt", "A.", "QQ", "C/ ", "Calle ", "Straße", "Road", "rue ", "%40", "x", "org", "987-65-4321", "é", "_"]
+    texts += ["".join(pick.choice(parts) for _ in range(pick.randrange(2, 30))) for _ in range(4000)]
+    for text in texts:
+        assert sorted(personal._spans(text)) == sorted(set(wanted(text))), text
