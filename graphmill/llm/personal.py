@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -173,6 +173,8 @@ _BEGINS = re.compile(r"[+(]|[\dA-ZÀ-ÖØ-ÞŁŚŻŽŠČ]+")
 _AT = re.compile(r"@|%40|[\[({<] ?(?:at|arroba|@) ?[\])}>]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
 _LOCAL = re.compile(r"[A-Za-z0-9][\w.+%-]{0,63} ?\Z")
 _LEADING = re.compile(rf"(?<![\w-]){_PARTICLE}[ \n]\Z")
+_GROUP_END = re.compile(r"\d(?!\d)")
+_DIGITS_GO_ON = re.compile(r"\w|[.:\-]\d")
 _STREETS = re.compile(rf"\s{_STREET}(?!\w)")
 _ABROAD = re.compile(r"\d+(?:\s?\w+)?,?\s[a-zé]|Calle|C/|Aven|Avda|Plaza|Paseo|Camino|Ronda|Carr|V[íi]a")
 
@@ -210,9 +212,28 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, at, found.end()
 
 
-def proposals(text: str) -> Iterator[tuple[str, int, int, list[int]]]:
-    """(kind, start, end, features) of each span that may be personal information."""
+def _overlapping(text: str) -> Iterator[tuple[str, int, int]]:
+    """The spans and those of the same kind that begin inside one; a phone number also ends where a group of its digits does."""
     for kind, start, end in _spans(text):
+        yield kind, start, end
+        if kind == "name":
+            continue
+        pattern = _PROPOSE[kind][0]
+        for begin in range(start, end):
+            if not (found := pattern.match(text, begin)):
+                continue
+            stop = found.end() - (kind == "email" and found[0].endswith("-"))
+            if begin > start:
+                yield kind, begin, stop
+            if kind == "phone":
+                for m in _GROUP_END.finditer(text, begin, stop - 1):
+                    if _PHONES.fullmatch(text, begin, m.end()) and not _DIGITS_GO_ON.match(text, m.end()):
+                        yield kind, begin, m.end()
+
+
+def proposals(text: str, spans: Callable[[str], Iterator[tuple[str, int, int]]] = _overlapping) -> Iterator[tuple[str, int, int, list[int]]]:
+    """(kind, start, end, features) of each span that may be personal information."""
+    for kind, start, end in spans(text):
         if kind == "address":
             found = text[start:end]
             if not (_STREETS.search(found) or _GERMAN.search(found) or _ABROAD.match(found)):
@@ -274,15 +295,23 @@ _WITHOUT = (
 )
 
 
+#: Numbers joined to others, where one proposal covers parts of two: a tenth more sentences, which set no threshold.
+_JOINED = ("Call {phone}\n{phone}\n", "{name}\n{phone}\n{phone}\n{word}", "Listening on port 80{d2} {phone} for {word}", "On-call: {phone} {phone}", "| {d3} {phone} | {word} |", "phone {phone}\n{d2}", "{phone} - {phone}")
+
+
 @cache
 def models(sample: int = SAMPLE, seed: int = SEED) -> dict[str, Boosted]:
     """The trees and thresholds of each kind, the same for the same arguments."""
     pick = random.Random(seed)
     rows: dict[str, list[tuple[list[int], int]]] = {k: [] for k in KINDS}
-    for _ in range(sample):
+    plain: dict[str, int] = {}
+    for n in range(sample + sample // 10):
+        if n == sample:
+            plain = {kind: len(found) for kind, found in rows.items()}
         values = _fill(pick) | {"name2": _fill(pick)["name"]}
         lead = pick.choice(("", "The index team waits. ", "Le cache est vide. ", "\n", "bot: "))
-        for frame in (pick.choice(_WITH), pick.choice(_WITHOUT)):
+        joined = n >= sample
+        for frame in (pick.choice(_JOINED),) if joined else (pick.choice(_WITH), pick.choice(_WITHOUT)):
             text, truth = lead, set()
             for literal, field in re.findall(r"([^{]*)(?:\{(\w+)\})?", frame):
                 text += literal
@@ -292,13 +321,15 @@ def models(sample: int = SAMPLE, seed: int = SEED) -> dict[str, Boosted]:
                         truth.add((kind, len(text), len(text) + len(values[field])))
                     text += values[field]
             text += pick.choice(("", " The old index keeps 30 MB.", "\n"))
-            for kind, start, end, features in proposals(text):
+            for kind, start, end, features in proposals(text, _overlapping if joined else _spans):
+                if joined and (kind != "phone" or any(a <= start and end <= b and (a, b) != (start, end) for _, a, b in truth)):
+                    continue  # of a number and its part the longer is kept
                 good = any(k == kind and a == start and (b == end or kind == "address") for k, a, b in truth)
                 rows[kind].append((features, int(good)))
     out = {}
     for kind, found in rows.items():
         x, y = np.array([f for f, _ in found], dtype=np.int64), np.array([g for _, g in found])
-        held = np.arange(len(y)) % 4 == 0
+        held = (np.arange(len(y)) % 4 == 0) & (np.arange(len(y)) < plain[kind])
         out[kind] = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
     return out
 

@@ -71,3 +71,12 @@ def test_proposals_are_those_of_the_patterns():
     texts += ["".join(pick.choice(parts) for _ in range(pick.randrange(2, 30))) for _ in range(4000)]
     for text in texts:
         assert sorted(personal._spans(text)) == sorted(set(wanted(text))), text
+
+
+def test_a_number_that_begins_inside_another_proposal_is_found():
+    trees = personal.models()
+    for text, want in (
+        ("Listening on port 8080 07700 900123 (ask for Anna Schmidt)", ["07700 900123"]), ("call 07700 900123\n07700 900456\n", ["07700 900123", "07700 900456"]),
+        ("Please call +34 600 123 456 today", ["+34 600 123 456"]), ("phone: +44 7700 900123", ["+44 7700 900123"]),
+    ):
+        assert [text[a:b] for k, a, b in personal.find([text], trees)[0] if k == "phone"] == want, text
