@@ -47,6 +47,13 @@ _STRING = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"
 _ASSIGNED = re.compile(
     rf"([A-Za-z_][\w.\-]*)[\"']?\s*(?:\:\s*[\w.<>\[\]]+\s*)?(?:=>|:=|=|:)\s*(?:[rbuf]{{0,2}})({_STRING}(?:\s*[+.]?\s*{_STRING})*)"
 )
+#: The same over line ends: after the name or operator, and between parts that an operator, a backslash or a bracket joins.
+_WRAPPED = re.compile(
+    rf"([A-Za-z_][\w.\-]*)[\"']?\s*(?:\:\s*[\w.<>\[\]]+\s*)?(?:=>|:=|=|:)\s*(?:\(\s*[rbuf]{{0,2}}({_STRING}(?:\s*[+.]?\s*{_STRING})*)|(?:\\\r?\n\s*)?[rbuf]{{0,2}}({_STRING}(?:(?:\s*[+.]\s*|\s*\\\r?\n\s*|[ \t]*){_STRING})*))(?!\s*:)"
+)
+_JOINT = re.compile(r"([\"'`](?:[ \t\r+.\\]*\n)+[ \t+.]*[rbuf]{0,2}[\"'`])")
+_WORD = re.compile(r"[A-Za-z_][\w.\-]*")
+_GOES_ON = re.compile(r"\s*(?:[\"'`+.=:(\\]|[rbuf]{1,2}[\"'])")
 _BARE = re.compile(r"^\s*[+\-]?\s*(?:export\s+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*[:=]\s*([^\s\"'`;,(){}\[\]<>$][^\s\"'`;,(){}\[\]<>]*)\s*$")
 _FALLBACK = re.compile(rf"[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*\]?\s*\)?\s*(?:,|\|\||\?\?|\bor\b|\bif\b)\s*({_STRING})")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@\"'`<>]*:([^\s@/\"'`<>]+)@[\w\[]")
@@ -91,18 +98,31 @@ def _name_says(name: str) -> bool:
     return bool(_NAME.search(name.rstrip("0123456789_.-")))
 
 
-def _hot_lines(text: str) -> set[str]:
-    low, lines = text.replace("\u0130", "I").lower(), set()
+def _hot_lines(text: str) -> dict[str, set[int]]:
+    """Line to where it begins, of the lines with a trigger."""
+    low, lines = text.replace("\u0130", "I").lower(), {}
     for trigger in _TRIGGERS:
         at = low.find(trigger)
         while at >= 0:
             end = text.find("\n", at)
             end = len(text) if end < 0 else end
-            lines.add(text[text.rfind("\n", 0, at) + 1 : end])
+            start = text.rfind("\n", 0, at) + 1
+            lines.setdefault(text[start:end], set()).add(start)
             at = low.find(trigger, end)
     return lines
 
 
+def _wrapped(text: str, line: str, starts: set[int]) -> Iterator[str]:
+    """The literals that are assigned to a name in the line and stand, or go on, in the lines below."""
+    if line.rstrip()[-1:] in ",;{})]":
+        return
+    for start in starts:
+        if _GOES_ON.match(text, start + len(line)):
+            for m in _WORD.finditer(line):
+                if _name_says(m[0]) and (found := _WRAPPED.match(text, start + m.start())) and "\n" in found[0]:
+                    yield found[2] or found[3]
+
+
 def candidates(text: str) -> list[tuple[str, str, str]]:
     """(value, surface, context) of the literals of a file that may be credentials.
 
@@ -110,7 +130,7 @@ def candidates(text: str) -> list[tuple[str, str, str]]:
     the two differ where a literal is put together from parts.
     """
     found: list[tuple[str, str, str]] = [(m[0].replace("\\n", "\n"), m[0], "name") for m in _PEM.finditer(text)]
-    for line in _hot_lines(text):
+    for line, starts in _hot_lines(text).items():
         found += [(m[0], m[0], "none") for m in _FORMAT.finditer(line)]
         found += [(m[1], m[1], "url") for m in _URL.finditer(line)]
         found += [(m[1], m[1], "name" if re.search(r"\d", m[1]) else "none") for m in _HEADER.finditer(line)]
@@ -118,6 +138,9 @@ def candidates(text: str) -> list[tuple[str, str, str]]:
             if "PRIVATE KEY" not in m[2] and _name_says(m[1]):
                 parts = [p[1:-1] for p in _PART.findall(m[2])]
                 found.append(("".join(parts), m[2][1:-1], "name"))
+        for whole in _wrapped(text, line, starts):
+            if "PRIVATE KEY" not in whole:
+                found.append(("".join(p[1:-1] for p in _PART.findall(whole)), whole[1:-1], "name"))
         if (m := _BARE.match(line)) and _name_says(m[1]):
             found.append((m[2], m[2], "name"))
         for m in _CALL.finditer(line):
@@ -150,7 +173,7 @@ def index_literals(files: DataFrame) -> DataFrame:
 
 
 def confirmed(literals: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
-    """Distinct `surface` of the literals whose value fewer than `shared_by` repositories hold.
+    """Distinct `surface` of the literals whose value fewer than `shared_by` repositories hold; the value is one more surface.
 
     Private keys are kept however many share them. (value, surface, repository) is made distinct before it is
     counted, so that a literal in a third of all files is a few rows a repository.
@@ -158,7 +181,7 @@ def confirmed(literals: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     rows = literals.distinct()
     owners = rows.groupBy("value").agg(F.count_distinct("repository_id").alias("owners"))
     kept = owners.where((F.col("owners") < shared_by) | F.col("value").contains("PRIVATE KEY"))
-    return rows.join(kept, "value", "left_semi").select("surface").distinct()
+    return rows.join(kept, "value", "left_semi").select(F.explode(F.array("surface", "value")).alias("surface")).distinct()
 
 
 class Scanner:
@@ -238,10 +261,12 @@ def lines_of(text: str, spans: list[dict]) -> list[int]:
 
 def redact(text: str, spans: list[dict]) -> str:
     """The text with MASK for each span. Line ends and the indentation inside of a span stay, so that all other
-    lines keep their numbers and blocks their shape."""
+    lines keep their numbers and blocks their shape; so does what joins the parts of a literal over a line end."""
     out, at = [], 0
     for start, end in merged([(s["start"], s["end"]) for s in spans]):
-        out += [text[at:start], re.sub(r"(?m)(?<=\S)[ \t]*\S.*$|\S[^\n\r]*", MASK, text[start:end])]
+        out.append(text[at:start])
+        for n, piece in enumerate(_JOINT.split(text[start:end])):
+            out.append(piece if n % 2 else re.sub(r"(?m)(?<=\S)[ \t]*\S.*$|\S[^\n\r]*", MASK, piece))
         at = end
     return "".join([*out, text[at:]])
 

@@ -91,6 +91,20 @@ def test_secrets_end_to_end(spark):
     assert secrets.found_lines(df.limit(0)).count() == 0
 
 
+def test_secrets_over_line_ends_and_joined_from_parts(spark):
+    rows = [
+        ("file:python:a", "1", "r1", "a.py", 'password = (\n    "a1B2"\n    "c3D4!e"\n)\n', None), ("file:javascript:b", "1", "r2", "b.js", "const token =\n  'Zq81!mPw';\n", None),
+        ("file:java:c", "1", "r3", "C.java", 'class C { String secret = "k9#Lm"\n      + "2vTx7";\n}\n', None), ("file:python:d", "1", "r4", "d.py", 'x = f("k9#Lm2vTx7")\ny = "a1B2c3D4!e"\n', None),
+        ("file:yaml:e", "1", "r5", "e.yaml", "token:\n  'n4me!Of9x': 1\npassword: 'Uv7!kkRt'\n'user': 'x'\n", None),
+    ]
+    df = _entity(spark, rows)
+    got = {(r.entity_id[-1], r.line_no) for r in secrets.found_lines(df).collect()}
+    assert got >= {("a", 2), ("b", 2), ("c", 1), ("d", 1), ("d", 2), ("e", 3)} and ("e", 2) not in got and ("e", 4) not in got
+    clean = {r.entity_id[-1]: r.source_code for r in secrets.redacted_files(df).collect()}
+    ast.parse(clean["a"])
+    assert "c3D4" not in clean["a"] + clean["d"] and "2vTx7" not in clean["c"] + clean["d"]
+
+
 def test_redacted_json_still_parses():
     text = json.dumps({"password": "x9!kQ#77z", "n": 1})
     at = text.index("x9!")
