@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, stored, table
 
-#: A value that files of so many repositories hold is a placeholder.
+#: A value that files of so many repositories hold is a placeholder, unless its format tells that it is none.
 SHARED_BY = 8
 #: Surfaces in one automaton; more are scanned for in further passes.
 BLOCK = 200_000
@@ -175,12 +175,12 @@ def index_literals(files: DataFrame) -> DataFrame:
 def confirmed(literals: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """Distinct `surface` of the literals whose value fewer than `shared_by` repositories hold; the value is one more surface.
 
-    Private keys are kept however many share them. (value, surface, repository) is made distinct before it is
+    Private keys and values of a format of their own are kept however many share them. (value, surface, repository) is made distinct before it is
     counted, so that a literal in a third of all files is a few rows a repository.
     """
     rows = literals.distinct()
     owners = rows.groupBy("value").agg(F.count_distinct("repository_id").alias("owners"))
-    kept = owners.where((F.col("owners") < shared_by) | F.col("value").contains("PRIVATE KEY"))
+    kept = owners.where((F.col("owners") < shared_by) | F.col("value").contains("PRIVATE KEY") | F.col("value").rlike(rf"\A{_FORMAT.pattern}"))
     return rows.join(kept, "value", "left_semi").select(F.explode(F.array("surface", "value")).alias("surface")).distinct()
 
 

@@ -105,6 +105,12 @@ def test_secrets_over_line_ends_and_joined_from_parts(spark):
     assert "c3D4" not in clean["a"] + clean["d"] and "2vTx7" not in clean["c"] + clean["d"]
 
 
+def test_a_shared_value_of_a_format_of_its_own_is_no_placeholder(spark):
+    made = ("AKIA" + "Q3ZT7RWX2LBN5KVM", "ghp" + "_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5", "Pl4ceh0lder!X")
+    literals = spark.createDataFrame([(v, v, f"r{i}") for v in made for i in range(secrets.SHARED_BY + 1)], "value string, surface string, repository_id string")
+    assert {r.surface for r in secrets.confirmed(literals).collect()} == set(made[:2])
+
+
 def test_redacted_json_still_parses():
     text = json.dumps({"password": "x9!kQ#77z", "n": 1})
     at = text.index("x9!")
