@@ -66,7 +66,7 @@ class _Classes(dict):
             kind = ""
         elif first.isalpha() or first in "_$" or first == "#" and len(token) > 1 and (token[1].isalpha() or token[1] in "_$"):
             kind = "s" if token[-1] in "\"'" else "i"
-        elif first.isdigit() or first == "." and token[1:2].isdigit():
+        elif first.isdigit() or first in ".-" and token[1:2].isdigit():
             kind = "n"
         elif first in "\"'`" and len(token) > 1:
             kind = "s"

@@ -71,6 +71,9 @@ _RULES = {"typescript": _TYPED, "javascript": _PLAIN, "java": _JAVA, "go": _GO}
 _AFTER_DOT = re.compile(rf"(?<=\.)(\n*)[{_WORDS}mGStM]|(?<=Q)[{_WORDS}]")
 _AS_KEY = re.compile(rf"(?<=[{{,\n])[fCkewbdvIxjpc](?=:)|(?<=[\n{{;}}c])[fCkewbdvIxDjpc](?=\()(?<![kf])")
 _BREAKS = re.compile(r"\n{2,}")
+_BRACKET = re.compile(r"([()\[\]{}])")
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+_JSON_GROUP = {"(": re.compile("(?!)"), "[": re.compile("(?:[sn](?:,[sn])*)?"), "{": re.compile("(?:s:[sn](?:,s:[sn])*)?")}
 
 
 class Checker:
@@ -131,15 +134,41 @@ class Checker:
             return "parser"
         return None
 
-    @staticmethod
-    def _json(text: str) -> str | None:
+    def _json(self, text: str) -> str | None:
+        """The pushdown runs once over the brackets, so that deep nesting costs no more; json.loads decides the rest."""
+        kinds = self.kinds(text)
+        if not text.strip():
+            return "empty"
+        if "X" in kinds:
+            return "literal"
+        groups: list[list[str]] = [[]]
+        opened: list[str] = []
+        for part in _BRACKET.split(kinds):
+            if part in _CLOSING:
+                opened.append(part)
+                groups.append([])
+            elif part and part in ")]}":
+                if not opened or _CLOSING[opened[-1]] != part:
+                    return "brackets"
+                if not _JSON_GROUP[opened.pop()].fullmatch("".join(groups.pop())):
+                    return "tokens"
+                groups[-1].append("n")
+            else:
+                groups[-1].append(part)
+        if opened:
+            return "brackets"
+        if not re.fullmatch("[sn]", "".join(groups[0])):
+            return "tokens"
+
         def no(_: str) -> None:
             raise ValueError
 
         try:
             json.loads(text, parse_constant=no)
-        except (ValueError, RecursionError):
-            return "parser" if text.strip() else "empty"
+        except ValueError:
+            return "parser"
+        except RecursionError:  # too deep for the parser, which says nothing about the text
+            return None
         return None
 
 

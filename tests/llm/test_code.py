@@ -61,6 +61,13 @@ def test_every_truncation_of_a_python_file_agrees_with_the_parser():
         assert (validity.reason_of("python", text[:n]) is None) == good, text[:n]
 
 
+def test_json_goes_through_the_lexer_and_the_groups():
+    deep = "[" * 200_000 + '{"a": -1}' + "]" * 200_000
+    assert validity.reason_of("json", deep) is None and validity.reason_of("json", deep[:-1]) == "brackets"
+    for text, why in (('{"a": [1}', "brackets"), ('{"a" 1}', "tokens"), ("[1,]", "tokens"), ('["a]', "literal"), ("[01]", "parser"), (" \n", "empty"), ("[-1.5e3, -0, {}, []]", None)):
+        assert validity.reason_of("json", text) == why, text
+
+
 def test_checked_files(spark):
     rows = [("file:python:a.py", "1", "r", "a.py", "def f(:", None), ("file:python:a.py", "1", "r", "a.py", "def f(:", None), ("file:odd:b.go", "1", "r", "b.go", "package a\n", None), ("file:yaml:c.yaml", "1", "r", "c.yaml", "a: b: c", None), ("file:json:d.json", "2", None, "d.json", "", {}), ("file:java:e", None, "r", None, None, None)]
     got = {(r.entity_id, r.language): r.reason for r in validity.checked_files(_entity(spark, rows)).collect()}
