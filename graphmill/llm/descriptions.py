@@ -197,7 +197,7 @@ def described(contexts: DataFrame, entities: DataFrame, knowledge: DataFrame) ->
 
 
 def code_of(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds `code`, the lines of each function, delimited by depth where no end line is known."""
+    """Adds `code`, the lines of each function, delimited by indentation where no end line is known."""
     files = entities.where("entity_type = 'File' and length(source_code) > 0").select(
         F.col("entity_id").alias("file_id"), "version", "ingested_at", "source_code"
     ).groupBy("file_id", "version").agg(F.max_by("source_code", "ingested_at").alias("source_code"))
