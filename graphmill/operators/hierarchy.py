@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies by tree contraction.
 
-Every round removes the leaves of what is left (rake) and splices out an independent set of the nodes with one
-child (compress), so that the number of rounds is logarithmic in the number of nodes even for long chains. Each
-removal is recorded with the edge it had at that moment; running the record backwards recovers root, depth and
-path. A cycle cannot be raked away: it is compressed until one edge leads from a node to itself, and the nodes
-spliced into that edge are the cycle.
+Every round removes what ends somewhere (rake) and splices out an independent set of the nodes with one child and one
+parent (compress), so that the number of rounds is logarithmic in the number of nodes even for long chains. What
+cannot be raked or compressed away is a core of cycles; the record of the splices, run backwards, tells which of the
+spliced nodes lie on them. Without its cycles a hierarchy is a forest, which is contracted to its roots; running that
+record backwards recovers root, depth and path.
 """
 
 from __future__ import annotations
@@ -14,133 +14,169 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import discard, stored
 
 
+def _draw(node: Column, turn: int) -> Column:
+    return F.xxhash64(node, F.lit(turn))
 
-def _coin(col: str, turn: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(col), F.lit(turn)), F.lit(2))
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean_links(links: DataFrame, child: str, parent: str) -> DataFrame:
-    """Distinct (child, parent) of type string; rows with a null end are no links."""
-    return (
-        links.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("parent"))
-        .where("child is not null and parent is not null")
-        .distinct()
+    """(child, parent) of type string; rows with a null end are no links. Repeated rows are kept."""
+    return links.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("parent")).where(
+        "child is not null and parent is not null"
     )
 
 
-def contract(links: DataFrame, most_rounds: int = 200) -> tuple[list[DataFrame], DataFrame | None]:
-    """Contracts a graph in which each child has one parent.
+def _colours(edges: DataFrame, up: str, down: str) -> DataFrame:
+    """`n, c`: the greatest id from which each node is reached along edges from `up` to `down`.
 
-    Returns one record of the removed nodes for each round (`child, parent, via`, where `via` holds the nodes
-    spliced out between the two, top first) and the cycles (`member`, or None). No parent in a record was removed
-    in the same round: of two neighbours on a chain only one is spliced, by a coin for each node and round, and
-    leaves are raked after their parents were spliced.
+    A colour also jumps: who reaches the owner of my colour reaches me, so that long paths take few rounds.
     """
-    left = cut(links.select("child", "parent", F.array().cast("array<string>").alias("via")))
-    records: list[DataFrame] = []
-    cycles: list[DataFrame] = []
-    for turn in range(most_rounds):
-        n = left.agg(F.count(F.lit(1)).alias("rest"), F.count_if(F.col("child") == F.col("parent")).alias("loops")).first()
+    colour = stored(edges.select(F.explode(F.array("child", "parent")).alias("n")).distinct().select("n", F.col("n").alias("c")), "colour")
+    while True:
+        pushed = edges.join(colour, F.col(up) == F.col("n")).select(F.col(down).alias("n"), "c")
+        jumped = colour.alias("a").join(colour.alias("b"), F.col("a.c") == F.col("b.n")).select("a.n", "b.c")
+        grown = colour.select("n", "c", F.lit(True).alias("old")).unionByName(pushed.unionByName(jumped).withColumn("old", F.lit(False)))
+        after = stored(grown.groupBy("n").agg(F.max("c").alias("c"), F.max(F.when(F.col("old"), F.col("c"))).alias("before")), "colour")
+        done = after.where("c <> before").isEmpty()
+        discard(colour)
+        colour = after.select("n", "c")
+        if done:
+            return colour
+
+
+def _strong_parts(core: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members `node, label` of strongly connected parts with more than one node, all nodes `node` that are settled)."""
+    ahead = _colours(core, "parent", "child")
+    inner = (
+        core.join(ahead.select(F.col("n").alias("child"), F.col("c").alias("cc")), "child")
+        .join(ahead.select(F.col("n").alias("parent"), F.col("c").alias("cp")), "parent").where("cc = cp").select("child", "parent")
+    )
+    back = _colours(stored(inner, "inner"), "child", "parent")
+    members = stored(ahead.join(back.select("n", F.col("c").alias("b")), "n").where("c = b").select(F.col("n").alias("node"), F.col("c").alias("label")), "strong")
+    return members, stored(members.select("node").unionByName(ahead.where("n = c").select(F.col("n").alias("node"))).distinct(), "settled")
+
+
+def cyclic_members(links: DataFrame, most_rounds: int = 400) -> DataFrame:
+    """Nodes on a directed cycle of any graph (nodes with several parents too): `member`, each once.
+
+    A round rakes the nodes without a parent or without a child and splices out nodes with one of each whose draw
+    beats those of both neighbours. When nothing can be raked and every node has one parent, the rest is cycles; when
+    nothing can be spliced either, the core is split into strongly connected parts. A spliced node lies on a cycle if
+    its neighbours at that time turn out to lie on one together.
+    """
+    base = links.select("child", "parent")
+    inner = base.join(base.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent").distinct()
+    left = stored(inner, "links")
+    loops = base.where("child = parent").select(F.col("child").alias("node")).distinct()
+    found: dict[int, list[DataFrame]] = {0: [stored(loops.select("node", F.col("node").alias("label")), "loops")]}
+    records: dict[int, DataFrame] = {}
+    for turn in range(1, most_rounds):
+        ends = left.where("child <> parent").select(
+            F.explode(F.array(F.struct(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(None).cast("string").alias("down")),
+                              F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("up"), F.col("child").alias("down")))).alias("e")
+        ).select("e.*")
+        nodes = ends.groupBy("node").agg(
+            F.count("up").alias("ups"), F.count("down").alias("downs"), F.min("up").alias("up"), F.min("down").alias("down")
+        )
+        dead, chain = (F.col("ups") == 0) | (F.col("downs") == 0), (F.col("ups") == 1) & (F.col("downs") == 1)
+        best = F.greatest(_draw(F.col("up"), turn), _draw(F.col("down"), turn))
+        state = stored(nodes.select("node", "up", "down", dead.alias("dead"), chain.alias("chain"), (chain & (_draw(F.col("node"), turn) > best)).alias("splice"), (F.col("ups") > 1).alias("wide")), "nodes")
+        n = state.agg(F.count(F.lit(1)).alias("rest"), F.count_if("dead").alias("dead"), F.count_if("chain").alias("chain"), F.count_if("splice").alias("splice"), F.count_if("wide").alias("wide")).first()
         if not n.rest:
             break
-        if n.loops:
-            cycles.append(cut(left.where("child = parent").select(F.explode(F.concat("via", F.array("child"))).alias("member"))))
-            left = left.where("child <> parent")
-        kids = left.groupBy(F.col("parent").alias("p")).agg(F.count(F.lit(1)).alias("kids"))
+        if not n.dead and not n.wide:
+            found.setdefault(turn, []).append(state.select("node", F.lit("").alias("label")))
+            break
+        if not n.dead and not n.chain:
+            members, settled = _strong_parts(left.where("child <> parent"))
+            found.setdefault(turn, []).append(members)
+            gone, added = settled, None
+        elif not n.splice:
+            gone, added = state.where("dead").select("node"), None
+        else:
+            gone = state.where("dead or splice").select("node")
+            added = state.where("splice").select(F.col("down").alias("child"), F.col("up").alias("parent"))
+        kept = left.where("child <> parent").join(gone, F.col("child") == F.col("node"), "left_anti").join(gone, F.col("parent") == F.col("node"), "left_anti")
+        after = stored(kept if added is None else kept.unionByName(added).distinct(), "links")
+        if added is not None:
+            records[turn] = state.where("splice").select("node", "up", "down")
+            loops = after.where("child = parent").select(F.col("child").alias("node"))
+            if not loops.isEmpty():
+                found.setdefault(turn, []).append(stored(loops.select("node", F.concat(F.lit("loop "), "node").alias("label")), "loops"))
+        else:
+            discard(state)
+        discard(left)
+        left = after
+    else:
+        raise RuntimeError(f"the contraction did not end within {most_rounds} rounds")
+    known: DataFrame | None = None
+    for turn in range(max([*found, *records]), -1, -1):
+        for new in found.get(turn, []):
+            known = new if known is None else known.unionByName(new.join(known.select("node"), "node", "left_anti"))
+        if turn in records and known is not None and not known.isEmpty():
+            known = stored(known, "members")
+            at = lambda end: known.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))  # noqa: B023, E731
+            both = records[turn].join(at("up"), "up").join(at("down"), "down").where("label_up = label_down")
+            known = known.unionByName(both.select("node", F.col("label_up").alias("label")))
+    return known.select(F.col("node").alias("member")).distinct()
+
+
+def contract(links: DataFrame, most_rounds: int = 200) -> list[DataFrame]:
+    """Contracts a forest (each child has one parent, no cycles) to its roots.
+
+    Returns one record of the removed nodes for each round: `child, parent, via`, where `via` holds the nodes spliced
+    out between the two, top first; it is never longer than the path of the node. No parent in a record was removed in
+    the same round: of two neighbours on a chain only one is spliced, by a draw for each node and round, and leaves are
+    raked after their parents were spliced.
+    """
+    left = links.select("child", "parent", F.array().cast("array<string>").alias("via"))
+    records: list[DataFrame] = []
+    for turn in range(most_rounds):
+        kids = left.groupBy(F.col("parent").alias("p")).agg(F.count(F.lit(1)).alias("kids"), F.min("child").alias("kid"))
+        beats = (_draw(F.col("child"), turn) > _draw(F.col("parent"), turn)) & (_draw(F.col("child"), turn) > _draw(F.col("kid"), turn))
         marked = left.join(kids, F.col("child") == F.col("p"), "left").select(
-            "child", "parent", "via", F.col("kids").isNull().alias("leaf"),
-            (F.col("kids").eqNullSafe(1) & (_coin("child", turn) == 1) & (_coin("parent", turn) == 0)).alias("splice"),
+            "child", "parent", "via", F.col("kids").isNull().alias("leaf"), (F.col("kids").eqNullSafe(1) & beats).alias("splice")
         )
         above = marked.where("splice").select(F.col("child").alias("v"), F.col("parent").alias("up"), F.col("via").alias("above"))
-        turned = cut(
+        turned = stored(
             marked.join(above, F.col("parent") == F.col("v"), "left").select(
                 "child", "leaf", "splice", F.coalesce("up", "parent").alias("parent"),
                 F.when(F.col("v").isNull(), F.col("via")).otherwise(F.concat("above", F.array("v"), "via")).alias("via"),
-            )
+            ), "contracted",
         )
-        records.append(turned.where("leaf or splice").select("child", "parent", "via"))
+        n = turned.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("leaf") | F.col("splice")).alias("gone")).first()
+        if n.gone:
+            records.append(turned.where("leaf or splice").select("child", "parent", "via"))
         left = turned.where("not leaf and not splice").select("child", "parent", "via")
-    else:
-        raise RuntimeError(f"the contraction did not end within {most_rounds} rounds")
-    return records, reduce(DataFrame.unionByName, cycles) if cycles else None
+        if n.gone == n.all:
+            return records
+    raise RuntimeError(f"the contraction did not end within {most_rounds} rounds")
+
 
+def expand(links: DataFrame, records: list[DataFrame], on_cycle: DataFrame) -> DataFrame:
+    """Runs the record backwards: `node, root, depth, path, status` with status tree or below_cycle.
 
-def expand(links: DataFrame, records: list[DataFrame], cycles: DataFrame | None) -> DataFrame:
-    """Runs the record backwards: `node, root, depth, path, status` with status tree, cycle or below_cycle."""
-    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Each round writes only what it adds. `on_cycle` has `member`: roots that lie on a cycle.
+    """
     roots = links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti")
-    known = roots.select(
-        "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit("tree").alias("status")
-    )
-    if cycles is not None:
-        known = known.unionByName(
-            cycles.select(
-                F.col("member").alias("node"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"),
-                F.lit(None).cast("array<string>").alias("path"), F.lit("cycle").alias("status"),
-            )
-        )
-        records = [r.join(cycles, F.col("child") == F.col("member"), "left_anti") for r in records]
-    known = cut(known)
+    marked = roots.join(on_cycle.select(F.col("member").alias("node"), F.lit(True).alias("turns")), "node", "left")
+    parts = [stored(marked.select(
+        "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.when(F.col("turns"), "below_cycle").otherwise("tree").alias("status")
+    ), "expanded")]
     for record in reversed(records):
-        above = known.select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"), F.col("status").alias("s"))
+        above = _union(parts).select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("up"), "status")
         added = record.join(above, "parent").select(
             F.col("child").alias("node"), "root", (F.col("depth") + F.size("via") + 1).cast("int").alias("depth"),
-            F.concat("up", "via", F.array("child")).alias("path"), F.when(F.col("s") == "tree", "tree").otherwise("below_cycle").alias("status"),
+            F.concat("up", "via", F.array("child")).alias("path"), "status",
         )
-        known = cut(known.unionByName(added).coalesce(width))
-    return known
-
-
-def cyclic_members(links: DataFrame, most_rounds: int = 500) -> DataFrame:
-    """Nodes on a directed cycle of any graph (nodes with several parents too): `member`.
-
-    Nodes without incoming or outgoing links are peeled off; what remains is split by colouring: the greatest id
-    that reaches a node is its colour, and the nodes of a colour that reach its owner are strongly connected.
-    """
-    found = [links.where("child = parent").select(F.col("child").alias("member"))]
-    left = cut(links.where("child <> parent"))
-    for _ in range(most_rounds):
-        while True:
-            before = left.count()
-            left = cut(
-                left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-                .join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-                .select("child", "parent")
-            )
-            if left.count() == before:
-                break
-        if not before:
-            return reduce(DataFrame.unionByName, found).distinct()
-        colour = cut(left.select(F.explode(F.array("child", "parent")).alias("n")).distinct().select("n", F.col("n").alias("c")))
-        while True:
-            pushed = left.join(colour, F.col("parent") == F.col("n")).select(F.col("child").alias("n"), "c")
-            new = cut(colour.unionByName(pushed).groupBy("n").agg(F.max("c").alias("c")))
-            same = new.exceptAll(colour).isEmpty()
-            colour = new
-            if same:
-                break
-        inner = cut(
-            left.join(colour.select(F.col("n").alias("child"), F.col("c").alias("cc")), "child")
-            .join(colour.select(F.col("n").alias("parent"), F.col("c").alias("cp")), "parent")
-            .where("cc = cp")
-            .select("child", "parent", F.col("cc").alias("c"))
-        )
-        reach = cut(colour.where("n = c"))
-        while True:
-            back = inner.join(reach.select(F.col("n").alias("child"), "c"), ["child", "c"]).select(F.col("parent").alias("n"), "c")
-            grown = cut(reach.unionByName(back).distinct())
-            if grown.count() == reach.count():
-                break
-            reach = grown
-        sizes = reach.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        members = cut(reach.join(sizes, "c", "left_semi").select(F.col("n").alias("member")))
-        found.append(members)
-        gone = reach.select(F.col("n").alias("g"))
-        left = cut(left.join(gone, F.col("child") == F.col("g"), "left_anti").join(gone, F.col("parent") == F.col("g"), "left_anti"))
-    raise RuntimeError(f"the core did not vanish within {most_rounds} rounds")
+        parts.append(stored(added, "expanded"))
+    return _union(parts)
 
 
 def hierarchy(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -151,21 +187,18 @@ def hierarchy(links: DataFrame, child: str, parent: str) -> DataFrame:
     are found over all links. Nodes on a cycle have status cycle, nodes that only hang below one below_cycle;
     both have null root, depth and path. A row that names itself as its parent is a cycle of one node.
     """
-    every = cut(clean_links(links, child, parent))
-    single = cut(every.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).cast("int").alias("n_parents")))
-    tree = single.select("child", "parent")
-    records, cycles = contract(tree)
-    full = expand(tree, records, cycles)
-    out = full.join(single.withColumnRenamed("child", "node"), "node", "left").select(
+    every = stored(clean_links(links, child, parent).distinct(), "every")
+    single = stored(every.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).cast("int").alias("n_parents")), "single")
+    on_cycle = stored(cyclic_members(every), "cyclic")
+    tree = stored(single.select("child", "parent").join(on_cycle, F.col("child") == F.col("member"), "left_anti"), "tree")
+    nothing = {"root": "string", "depth": "int", "path": "array<string>"}
+    rest = on_cycle.select(F.col("member").alias("node"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()), F.lit("cycle").alias("status"))
+    hung = expand(tree, contract(tree), on_cycle).join(rest.select("node"), "node", "left_anti")
+    told = hung.select("node", *(F.when(F.col("status") == "tree", F.col(c)).alias(c) for c in nothing), "status")
+    return told.unionByName(rest).join(single.withColumnRenamed("child", "node"), "node", "left").select(
         F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", "status",
         F.coalesce("n_parents", F.lit(0)).alias("n_parents"),
     )
-    if single.where("n_parents > 1").isEmpty():
-        return out
-    on_cycle = cyclic_members(every)
-    return out.join(on_cycle, F.col("node_id") == F.col("member"), "left").withColumn(
-        "status", F.when(F.col("member").isNotNull(), "cycle").otherwise(F.col("status"))
-    ).drop("member")
 
 
 def descendants(full: DataFrame) -> DataFrame:

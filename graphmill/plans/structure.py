@@ -15,8 +15,7 @@ def _contains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    full = H.hierarchy(_contains(spark, d), "to_id", "from_id")
-    return full.where("status = 'cycle'").select(F.col("node_id").alias("entity_id"))
+    return H.cyclic_members(H.clean_links(_contains(spark, d), "to_id", "from_id")).select(F.col("member").alias("entity_id"))
 
 
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:

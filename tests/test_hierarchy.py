@@ -49,3 +49,36 @@ def test_random_forest_against_walking(spark):
     pairs = spark.createDataFrame([(a, b, "") for a, b in parent.items()], SCHEMA)
     down = H.descendants(H.hierarchy(pairs, "child", "parent"))
     assert down.count() == sum(r.depth for r in full.values())
+
+
+def _walked(edges):
+    """Members of cycles by walking from every node."""
+    down = {}
+    for c, p in edges:
+        down.setdefault(p, set()).add(c)
+    out = set()
+    for start in down:
+        seen, todo = set(), list(down[start])
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += down.get(n, ())
+        if start in seen:
+            out.add(start)
+    return out
+
+
+def test_cycles_of_random_graphs_against_walking(spark):
+    pick = random.Random(11)
+    for n, m in ((12, 10), (30, 34), (40, 80), (60, 62)):
+        edges = [(f"v{pick.randrange(n)}", f"v{pick.randrange(n)}") for _ in range(m)]
+        got = [r.member for r in H.cyclic_members(spark.createDataFrame(edges, "child string, parent string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == _walked(edges), edges
+
+
+def test_long_chain_and_long_cycle_take_few_rounds(spark):
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(5000)] + [("n5000", "other")]
+    assert H.cyclic_members(spark.createDataFrame(chain, "child string, parent string"), most_rounds=60).count() == 0
+    ring = [*chain, ("n0", "n3000"), ("side", "n7")]
+    assert H.cyclic_members(spark.createDataFrame(ring, "child string, parent string"), most_rounds=60).count() == 3001
