@@ -21,7 +21,7 @@ _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 
 #: The words of the languages by the part they play; see `_classes`.
 _SCRIPT_WORDS = {
-    "f": "function", "C": "class", "k": "if while for switch catch with", "e": "else try do finally", "w": "return throw typeof void delete new await case",
+    "f": "function", "C": "class", "g": "if", "k": "while for with", "r": "switch", "h": "catch", "e": "else", "y": "try", "q": "do", "z": "finally", "a": "case", "w": "return throw typeof void delete new await",
     "b": "in instanceof", "d": "const", "v": "let var", "I": "import", "x": "export", "D": "default", "j": "break continue debugger", "p": "extends",
     "c": "async of get set static from as yield",
 }
@@ -31,7 +31,8 @@ _TYPED_WORDS = _SCRIPT_WORDS | {
 }
 _JAVA_WORDS = {
     "m": "public private protected static final abstract native transient volatile strictfp sealed", "C": "class interface enum record",
-    "k": "if while for switch catch synchronized", "e": "else try do finally", "w": "return throw new case assert", "b": "instanceof", "I": "import",
+    "g": "if", "k": "while for synchronized", "r": "switch", "h": "catch", "e": "else", "y": "try", "q": "do", "z": "finally", "a": "case", "w": "return throw new assert", "b": "instanceof", "I": "import",
+    "T": "int long short byte char double float boolean", "Y": "yield",
     "G": "package", "j": "break continue", "p": "extends implements throws permits", "D": "default",
 }
 _GO_WORDS = {
@@ -40,6 +41,9 @@ _GO_WORDS = {
 }
 _PYTHON_WORDS = {"k": "if while for with elif except", "e": "else try finally", "f": "def", "C": "class", "w": "return raise yield await assert del", "I": "import from"}
 
+#: Statement words by the wider classes that most rules and the grammars of `provenance` know.
+COARSE = str.maketrans("grhyqzaT", "kkkeeewi")
+
 _OPERATORS = {
     "++": "u", "--": "u", "!": "~", "~": "~", "=>": "A", "->": "A", "...": "E", "@": "@", "?.": "Q", "::": ".", ".": ".", ":": ":", "?": "?", ";": ";", ",": ",",
     "<": "<", ">": ">", "+": "+", "-": "+", "*": "*", "|": "|", "&": "|", "=": "=", ":=": "=", "\n": "\n",
@@ -53,6 +57,7 @@ class _Classes(dict):
 
     def __init__(self, words: dict[str, str], extra: dict[str, str]) -> None:
         super().__init__(_OPERATORS)
+        self.template = extra.pop("`", "s")
         self.update({word: kind[0] for kind, names in words.items() for word in names.split()})
         self.update(extra)
         self.fixed = len(self)
@@ -64,11 +69,15 @@ class _Classes(dict):
         first = token[0]
         if token.startswith(("//", "/*", "#!", "# ")) or first == "\\" and token[1:2] in "\r\n":
             kind = ""
+        elif first == "`" and len(token) > 1:
+            kind = self.template
+        elif (first.isalpha() or first == "=") and token[-1] not in "\"'" and "/" in token:
+            kind = self[token[: token.index("/")].rstrip()] + "s"
         elif first.isalpha() or first in "_$" or first == "#" and len(token) > 1 and (token[1].isalpha() or token[1] in "_$"):
             kind = "s" if token[-1] in "\"'" else "i"
         elif first.isdigit() or first in ".-" and token[1:2].isdigit():
             kind = "n"
-        elif first in "\"'`" and len(token) > 1:
+        elif first in "\"'" and len(token) > 1:
             kind = "s"
         elif first == "#":
             kind = "" if len(token) > 1 else "X"
@@ -86,11 +95,60 @@ class Lexer:
         self.tokens = re.compile(rf"(?m){MARKER}|{pattern}{end}|\S").findall
         self.classes = _Classes(words, extra or {})
 
-    def kinds(self, text: str) -> str:
+    def fine(self, text: str) -> str:
+        """The classes of all tokens, with statement words told apart."""
         return "".join(map(self.classes.__getitem__, self.tokens(text)))
 
-
-_SCRIPT = rf"//[^\n]*|{_BLOCK}|/\*|{_TEMPLATE}|[(,=:\[!&|?{{}};]\s*{_REGEX}|#?[^\W\d][\w$]*|#?\$[\w$]*|{_DQ}|{_SQ}|{_NUMBER}|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|&&|\|\||\?\?|\*\*|==|!=|<=|>=|<<|\A\#![^\n]*"
+    def kinds(self, text: str) -> str:
+        return self.fine(text).translate(COARSE).replace("Y", "i")
+
+
+_CHUNK = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
+
+
+class Script(Lexer):
+    """A lexer with a second mode: what stands in the `${}` of a template is code again, to any depth."""
+
+    def __init__(self, pattern: str, words: dict[str, str], extra: dict[str, str]) -> None:
+        super().__init__(pattern, words, True, extra | {"`": "P"})
+        self.step = re.compile(rf"(?m){MARKER}|{pattern.replace(_TEMPLATE, '`')}|\n|\S").search
+
+    def fine(self, text: str) -> str:
+        found = super().fine(text)
+        return self._modes(text) if "X" in found and "`" in text and "${" in text else found
+
+    def _modes(self, text: str) -> str:
+        """The classes, where a template with code in it is a group of that code."""
+        out: list[str] = []
+        open_braces: list[int] = []
+        at = 0
+        while m := self.step(text, at):
+            token, at = m[0], m.end()
+            if token == "{" and open_braces:
+                open_braces[-1] += 1
+            elif token == "}" and open_braces:
+                open_braces[-1] -= 1
+            if token != "`" and not (token == "}" and open_braces and open_braces[-1] < 0):
+                out.append(self.classes[token])
+                continue
+            chunk = _CHUNK.match(text, at)
+            at = chunk.end()
+            if chunk[1] is None:
+                return "X"
+            if token == "`":
+                out.append("(" if chunk[1] == "${" else "P")
+                if chunk[1] == "${":
+                    open_braces.append(0)
+            elif chunk[1] == "${":
+                out.append(",")
+                open_braces[-1] = 0
+            else:
+                out.append(")")
+                open_braces.pop()
+        return "X" if open_braces else "".join(out)
+
+
+_SCRIPT = rf"//[^\n]*|{_BLOCK}|/\*|{_TEMPLATE}|[(,=:\[!&|?{{}};]\s*{_REGEX}|=>\s*{_REGEX}|\b(?:return|typeof|case|delete|void|throw|in|of|instanceof|await|yield)[ \t]*{_REGEX}|#?[^\W\d][\w$]*|#?\$[\w$]*|{_DQ}|{_SQ}|{_NUMBER}|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|&&|\|\||\?\?|\*\*|==|!=|<=|>=|<<|\A\#![^\n]*"
 _JAVA = rf'//[^\n]*|{_BLOCK}|/\*|"""[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*"""|[^\W\d][\w$]*|\$[\w$]*|{_DQ}|\'(?:\\[^\n\']+|[^\'\\\n]|\\\')\'|{_NUMBER}|\.\.\.|::|->|<<=|\+\+|--|[-+*/%&|^]=|&&|\|\||==|!=|<=|>=|<<'
 _GO = rf"//[^\n]*|{_BLOCK}|/\*|`[^`]*`|[^\W\d]\w*|{_DQ}|'(?:\\[^\n']+|[^'\\\n]|\\')'|{_NUMBER}|\.\.\.|:=|<<=|>>=|&\^=|&\^|<-|\+\+|--|[-+*/%&|^]=|&&|\|\||==|!=|<=|>=|<<|>>"
 _PY_STRING = r"""(?:[rRbBuUfFtT]{0,2})(?:\"\"\"[^"\\]*(?:(?:\\[\s\S]|"(?!""))[^"\\]*)*\"\"\"|'''[^'\\]*(?:(?:\\[\s\S]|'(?!''))[^'\\]*)*'''|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*')"""
@@ -106,8 +164,8 @@ def lexer(language: str) -> Lexer:
     if language == "java":
         return Lexer(_JAVA, _JAVA_WORDS, False, {":=": "X", "=>": "X", "?.": "X", "`": "X", "#": "X", "/*": "X"})
     if language == "go":
-        return Lexer(_GO, _GO_WORDS, True, {"?": "X", "=>": "X", "@": "X", "#": "X", "$": "X", "/*": "X", ">>": "o"})
+        return Lexer(_GO, _GO_WORDS, True, {"?": "X", "=>": "X", "@": "X", "#": "X", "$": "X", "/*": "X", ">>": "o", "<-": "R"})
     if language == "json":
         return Lexer(_JSON, {}, False, {"true": "n", "false": "n", "null": "n", ";": "X"})
     words = _TYPED_WORDS if language == "typescript" else _SCRIPT_WORDS
-    return Lexer(_SCRIPT, words, True, {"->": "X", ":=": "X", "#": "X", "\\": "X", "/*": "X"})
+    return Script(_SCRIPT, words, {"->": "X", ":=": "X", "#": "X", "\\": "X", "/*": "X"})

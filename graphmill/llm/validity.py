@@ -1,9 +1,10 @@
 """Source files that do not parse, found by lexers with a pushdown stack.
 
-The token classes of a file are reduced from the innermost brackets outwards. Every bracketed group is checked as a
-flat string against what its language never allows (an operator without operand, two operands side by side, a
-statement without end, ...), then stands for one symbol in the group around it. What cannot be reduced is a bracket
-that opens or closes nothing. Python and JSON files that pass are parsed by the languages' own parsers afterwards.
+One pass over the token classes of a file keeps the open brackets on a stack, so that nesting costs nothing. A group
+whose bracket closes is checked as a flat string against what its language never allows (an operator without operand,
+two operands side by side, a statement without end, an else without its if, ...), then stands for one symbol in the
+group around it. A bracket that closes nothing or stays open is unbalanced. Python and JSON files that pass are parsed by
+the languages' own parsers afterwards; where such a parser gives up for lack of room the file is not flagged.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .lexing import lexer
+from .lexing import COARSE, lexer
 
 LANGUAGES = ("python", "typescript", "javascript", "java", "go", "json")
 REASONS = ("literal", "brackets", "tokens", "end", "empty", "parser")
 
-_INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 _SYMBOL = {"(": "P", "[": "B", "{": "K"}
-_WORDS = "fCkewbdvIxDjpc"
+_WORDS = "fCkewbdvIxDjpcgrhyqza"
 
 
 def _never(*parts: str) -> re.Pattern:
@@ -53,7 +53,7 @@ _JAVA_ANY = (
 )
 _JAVA = {
     "(": _never(r"^[o=.?:*>,]", r"[:*,]$", *_JAVA_ANY), "[": _never(r"^[o=.?:*>;,]", r"[:*,]$", *_JAVA_ANY),
-    "{": _never(r"^[o=.?:>]", r"(?<!D)(?<!.):$", r";.*[^;K]$", r"ii$", r"(?:^|[;K])m*i[<>i,.B]*i=[^;]*$", r"^[^,;]*kP$", *_JAVA_ANY), "": _never("X"),
+    "{": _never(r"^[o=.?:>]", r"(?<!D)(?<!.):$", r"^[^;]*;.*[^;K]$", r"ii$", r"(?:^|[;K])m*i[<>i,.B]*i=[^;]*$", r"^[^,;]*kP$", *_JAVA_ANY), "": _never("X"),
 }
 _JAVA_FILE = re.compile(r"(?:(?:@i(?:\.i)*P?)*Gi(?:\.i)*;)?(?:Im?i(?:\.(?:i|\*))*;|;)*(?:(?:m|D|@i(?:\.i)*P?)*@?Ci[^;K=]*K|;)*")
 _GO_ANY = (
@@ -69,7 +69,16 @@ _GO_FILE = re.compile(
 )
 _RULES = {"typescript": _TYPED, "javascript": _PLAIN, "java": _JAVA, "go": _GO}
 _AFTER_DOT = re.compile(rf"(?<=\.)(\n*)[{_WORDS}mGStM]|(?<=Q)[{_WORDS}]")
-_AS_KEY = re.compile(rf"(?<=[{{,\n])[fCkewbdvIxjpc](?=:)|(?<=[\n{{;}}c])[fCkewbdvIxDjpc](?=\()(?<![kf])")
+_AS_KEY = re.compile(rf"(?<=[{{,\n])[fCkewbdvIxjpcgrhyqza](?=\??:)|(?<=[\n{{;}}c])[fCewbdvIxDjpca](?=\()(?<!f)|(?<=c)[hkgr](?=\()")
+#: What the statements of a block or file never do, line ends left out: an else without an if, a try without what it
+#: tries for, a catch or finally after no block, a const without value, a function without a name, a number assigned to.
+_STATEMENTS = (r"^[^g]*e", r"y(?!P?K[hz])", r"(?:^|[^K])[hz]", r"h(?!P?K)", r"n=")
+_SCRIPT_STATEMENTS = _never(*_STATEMENTS, r"(?<!c)d[ic](?=[;,]|$)", r"(?:^|[;K])f\*?P")
+_JAVA_STATEMENTS = _never(*_STATEMENTS, r"T[=;,o]")
+_GO_STATEMENTS = _never(r"\n\n*e", r"(?:^|[^K])e", r"n=", r"(?:^|[\n;:])\n*ii(?=\n|$)")
+_DO_LOOP = re.compile(r"q\n*K\n*kP")
+_GIVEN = re.compile(r"Y(?=[insw~+(-])")
+_NO_BINDING = re.compile(r"h(\n*)K")
 _BREAKS = re.compile(r"\n{2,}")
 _BRACKET = re.compile(r"([()\[\]{}])")
 _CLOSING = {"(": ")", "[": "]", "{": "}"}
@@ -81,17 +90,55 @@ class Checker:
 
     def __init__(self, language: str) -> None:
         self.language = language
-        self.kinds = lexer(language).kinds
+        self.kinds = lexer(language).fine
         self.rules = _RULES.get(language)
         self.seen: dict[str, str] = {}
 
-    def _group(self, found: re.Match) -> str:
-        whole = found[0]
-        known = self.seen.get(whole)
+    def _flat(self, inner: str, rules: re.Pattern, block: bool, before: str) -> bool:
+        """Whether a group, or a file as `before` is empty, is what its language allows."""
+        if block:
+            if self.language == "go":
+                if _GO_STATEMENTS.search(inner) and not (before[-1:] == "S" and not re.search(r"\ne|n=", inner)):
+                    return False
+            else:
+                told = inner.replace("\n", "")
+                if (_JAVA_STATEMENTS if self.language == "java" else _SCRIPT_STATEMENTS).search(told) or "a" in told and before != "rP":
+                    return False
+                if self.language == "java" and before[-1:] in ("P", "e", "y", "q", "z") and before != "" and inner[-1:] not in ("", ";", "K", ":"):
+                    return False
+        coarse = _NO_BINDING.sub(r"hP\1K", _DO_LOOP.sub("iP", inner)).translate(COARSE)
+        return not rules.search(coarse)
+
+    def _group(self, before: str, opened: str, inner: str) -> str:
+        key = f"{before}{opened}{inner}"
+        known = self.seen.get(key)
         if known is None:
-            known = self.seen[whole] = "X" if self.rules and self.rules[whole[0]].search(whole[1:-1]) else _SYMBOL[whole[0]]
+            good = not self.rules or self._flat(inner, self.rules[opened], opened == "{", before)
+            known = self.seen[key] = _SYMBOL[opened] if good else "X"
         return known
 
+    def _reduced(self, kinds: str) -> tuple[str | None, str]:
+        """(reason, the file with one symbol for each outermost group)."""
+        parts = _BRACKET.split(kinds)
+        now, opened = [parts[0]], []
+        for bracket, text in zip(parts[1::2], parts[2::2], strict=True):
+            if bracket in _CLOSING:
+                opened.append((bracket, now))
+                now = [text]
+                continue
+            if not opened:
+                return "brackets", ""
+            last, outer = opened.pop()
+            if _CLOSING[last] != bracket:
+                return "brackets", ""
+            before = "".join(outer[-3:]).rstrip("\n")[-2:] if last == "{" and self.rules else ""
+            symbol = self._group(before, last, "".join(now))
+            if symbol == "X":
+                return "tokens", ""
+            outer += (symbol, text)
+            now = outer
+        return ("brackets", "") if opened else (None, "".join(now))
+
     def reason(self, text: str) -> str | None:
         """Why the text is not valid, or None."""
         if self.language == "json":
@@ -103,26 +150,23 @@ class Checker:
             return "empty" if self.language == "go" else None
         if self.rules:
             kinds = _BREAKS.sub("\n", _AFTER_DOT.sub("i", kinds))
-            if self.language != "java" and self.language != "go":
+            if self.language == "java":
+                kinds = _GIVEN.sub("w", kinds).replace("Y", "i")
+            elif self.language != "go":
                 kinds = _AS_KEY.sub("i", kinds)
         if len(self.seen) > 200_000:
             self.seen.clear()
-        while True:
-            kinds, n = _INNER.subn(self._group, kinds)
-            if not n:
-                break
-            if "X" in kinds:
-                return "tokens"
-        if re.search(r"[()\[\]{}]", kinds):
-            return "brackets"
+        why, kinds = self._reduced(kinds)
+        if why:
+            return why
         if self.language == "python":
             return self._python(text)
         kinds = _BREAKS.sub("\n", kinds)
         if self.language == "java":
-            return None if _JAVA_FILE.fullmatch(kinds) else "end"
+            return None if _JAVA_FILE.fullmatch(kinds.translate(COARSE)) else "end"
         if self.language == "go":
             return None if _GO_FILE.fullmatch(kinds) else "end"
-        return "tokens" if self.rules[""].search(kinds) else None
+        return None if self._flat(kinds, self.rules[""], True, "") else "tokens"
 
     @staticmethod
     def _python(text: str) -> str | None:
@@ -130,7 +174,11 @@ class Checker:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
+        except (RecursionError, MemoryError):
+            return None
+        except SyntaxError as why:
+            return None if str(why.msg).startswith("too many nested") else "parser"
+        except ValueError:
             return "parser"
         return None
 

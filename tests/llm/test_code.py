@@ -3,6 +3,7 @@ from __future__ import annotations
 import ast
 import json
 import random
+import time
 from datetime import datetime as T
 
 import pytest
@@ -36,6 +37,33 @@ BAD = {
 }
 
 
+MORE_GOOD = [
+    ("javascript","const a = `a${ f(`b${c}`) }d`;\n"),("javascript","function f(s) { return /a'b/.test(s); }\n"),("javascript","do { a++ } while (a < 3)\n"),("javascript","do { a++; } while (a < 3);\nlet b = 1;\n"),("go","package a\n\nfunc f(c chan<- int, d <-chan int) {\n\tc <- 1\n}\n"),("go","package a\n\nfunc f() {\n\tx := <-c\n\tvar y chan<- int\n\tselect {\n\tcase <-d:\n\t\treturn\n\tcase v, ok := <-e:\n\t\tg(v, ok)\n\tdefault:\n\t}\n}\n"),
+    ("javascript","let a = typeof /x'/;\n"),("javascript","export default function () { return 1; }\n"),("javascript","x = function () {};\n(function () {})();\n"),("javascript","for (const a of b) { c(a); }\nfor (const k in o) d(k);\nlet e;\n"),
+    ("java","class A { void f() { if (a) { b(); } else { c(); } try { d(); } catch (E e) { } finally { g(); } } }\n"),("java","class A { void f() { switch (x) { case 1: a(); break; default: b(); } do { i++; } while (i < 3); int[] z = {1, 2}; Runnable r = () -> { g(); }; h(); } int q = 3; static { k(); } }\n"),
+    ("typescript","try { a(); } catch { b(); } finally { c(); }\nfunction g(): void;\nfunction g(a?: string): void { }\ndeclare const z: number;\ndeclare function q(): void;\n"),
+    ("java","class A { int f(int x) { return switch (x) { case 1 -> 2; default -> { yield 3; } }; } }\n"),("java","class A { List<int[]> a; Map<String, List<X>> m = new HashMap<>() {{ put(\"a\", 1); }}; <T> T g(T t) { return t; } }\n"),
+    ("javascript","switch (a) { case 'x': { break; } default: f(); }\nlabel: for (;;) { break label; }\n"),("go","package a\n\nfunc f() {\n\tif a {\n\t\tb()\n\t} else if c {\n\t\td()\n\t} else {\n\t\te()\n\t}\n\tfor i := range x {\n\t}\n\tvar q struct{ a int }\n\ttype T = int\n\tgo g()\n\tx.y, z = 1, 2\n}\n"),
+    ("javascript","const {a, b: {c}} = d;\nlet [x, y] = z;\nfor (let i = 0, n = 2; i < n; i++);\n"),("json","["*100000+"]"*100000),("python","x = "+"("*150+"1"+")"*150+"\n"),("typescript","let x = a! + b!.c;\nconst f = async <T,>(x: T): Promise<T> => x;\n"),("javascript","const f = () => ({ a: 1 });\nconst r = a / b / c;\nconst t = (a + b) / 2 / x;\n"),("javascript","a = b\n/c/g.exec(d)\n"), ("python","x = "+"["*3000+"]"*3000+"\n")]
+MORE_BAD = [
+    ("java","class A { void f() { g() } }\n"),("java","class A { void f() { int = 3; } }\n"),("java","class A { void f() { 1 = x; } }\n"),("java","class A { void f() { else { b(); } } }\n"),("java","class A { void f() { try { b(); } } }\n"),("go","package a\n\nfunc f() {\n\ta b\n}\n"),("go","package a\n\nfunc f() {\n\tif x {\n\t\ta()\n\t}\n\telse {\n\t\tb()\n\t}\n}\n"),
+    ("javascript","const a;\n"),("javascript","function () {}\n"),("javascript","else { a(); }\n"),("javascript","try { a(); }\n"),("javascript","case 1: a();\n"),("javascript","function f() { else { x(); } }\n"),("javascript","function f() { const b; }\n"),("javascript","function f() { try { g(); }\nh(); }\n"),("javascript","function f() { case 1: g(); }\n"),("javascript","function f() { function () {} }\n"),("javascript","const a = `x${`;\n"),("javascript","const a = `x${b`;\n"),("go","package a\n\nfunc f() {\n\t1 = x\n}\n"),("javascript","1 = x;\n")]
+
+
+def test_more_valid_and_invalid_files():
+    for language, text in MORE_GOOD:
+        assert validity.reason_of(language, text) is None, (language, text[:200])
+    for language, text in MORE_BAD:
+        assert validity.reason_of(language, text), (language, text[:200])
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    for language, opened, closed in (("javascript", "(", ")"), ("javascript", "{", "}"), ("java", "(", ")"), ("go", "[", "]")):
+        validity.reason_of(language, "x = " + opened * 100_000 + closed * 100_000)
+    assert time.time() - began < 4
+
+
 @pytest.mark.parametrize("language", sorted(GOOD))
 def test_valid_files(language):
     for text in GOOD[language]:
