@@ -238,12 +238,12 @@ def test_described_functions(spark):
     got = {(r.file_id[-1], r.function_name): r.description for r in descriptions.described(ctx, ent, know).collect()}
     assert set(got) == {("p", "a"), ("p", "b"), ("j", "foo"), ("g", "G"), ("g", "H")}
     assert got["p", "b"] == "Gives back whatever came in first."
-    pairs = {r.function_name: r.code for r in descriptions.code_of(descriptions.described(ctx, ent, know), ent).collect()}
+    pairs = {r.function_name: r.code for r in descriptions.code_of(descriptions.described(ctx, ent, know, delimited=True), ent).collect()}
     assert pairs["b"].startswith("def b(") and pairs["b"].endswith("return n") and pairs["foo"] == "foo(a) {\n}"
     assert descriptions.described(ctx.limit(0), ent.limit(0), know.limit(0)).count() == 0
 
 
 def test_depth_of_tokens(spark):
-    df = _entity(spark, [("file:java:a", "1", "r", "a.java", "class A {\n  void f() { // {\n  }\n}\n", None)]).select("entity_id", "version", F.lit("java").alias("language"), "source_code")
+    df = _entity(spark, [("file:java:a", "1", "r", "a.java", "class A {\n  void f() { // {\n  }\n}\n", None)]).select("entity_id", "version", "ingested_at", F.lit("java").alias("language"), "source_code")
     rows = descriptions.tokens(df).orderBy("pos").collect()
     assert max(r.depth for r in rows) == 2 and rows[-1].depth == 0 and rows[-1].last_line == 5
