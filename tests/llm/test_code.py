@@ -142,10 +142,40 @@ def test_secrets_over_line_ends_and_joined_from_parts(spark):
 
 def test_a_shared_value_of_a_format_of_its_own_is_no_placeholder(spark):
     made = ("AKIA" + "Q3ZT7RWX2LBN5KVM", "ghp" + "_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5", "Pl4ceh0lder!X")
-    literals = spark.createDataFrame([(v, v, f"r{i}") for v in made for i in range(secrets.SHARED_BY + 1)], "value string, surface string, repository_id string")
+    rows = [(h, f"r{i}", v, v, "name") for h, v in enumerate(made) for i in range(secrets.SHARED_BY + 1)]
+    literals = spark.createDataFrame(rows, "h long, repository_id string, value string, surface string, context string")
     assert {r.surface for r in secrets.confirmed(literals).collect()} == set(made[:2])
 
 
+def test_uses_that_look_like_no_credential_count_as_owners(spark):
+    rows = [("file:python:a", "1", "r", "a.py", "password = 'Zq81!mPwX'\n", None), *((f"file:python:u{i}", "1", None if i == 0 else f"u{i}", f"u{i}.py", "print('Zq81!mPwX')\n", None) for i in range(secrets.SHARED_BY - 1))]
+    df = _entity(spark, rows)
+    assert secrets.found_lines(df).count() == 0
+    assert secrets.found_lines(df.where("entity_id <> 'file:python:u3'")).count() == secrets.SHARED_BY - 1
+
+
+@pytest.mark.parametrize("value", ["Mustang!2024x", "/9aB+xY3kd0Qz7LmP2==", "correct horse battery staple", "correcthorsebattery", "blue Horse 42 staple!"])
+def test_passwords_that_hold_common_words(value):
+    assert [v for v, _, c in secrets.candidates(f"password = '{value}'\n") if secrets.structured(v, c)] == [value]
+
+
+@pytest.mark.parametrize("value", ["must be set", "Enter your password here", "this is not a valid token", "/run/secrets/db", "/etc/graph/key.pem", "invalid token"])
+def test_what_is_no_password(value):
+    assert not [v for v, _, c in secrets.candidates(f"password = '{value}'\n") if secrets.structured(v, c)]
+
+
+def test_a_filter_that_is_full_loses_nothing(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n))
+    values = [f"{word(6)}!{word(5)}7" for _ in range(60)]
+    rows = [(f"file:python:{i}", "1", f"r{i}", f"{i}.py", f"db_password = '{v}'\n", None) for i, v in enumerate(values)]
+    rows += [(f"file:python:use{i}", "1", "r", "u.py", f"x = 1\ny = connect_to(\"n\\n{v}\")\n", None) for i, v in enumerate(values)]
+    df = _entity(spark, rows)
+    for bits in (64, 4096, secrets.BITS):
+        files = secrets.secret_files(df, bits=bits).select("entity_id").collect()
+        assert len(files) == 120 and {r.entity_id for r in files} == {r[0] for r in rows}
+
+
 def test_redacted_json_still_parses():
     text = json.dumps({"password": "x9!kQ#77z", "n": 1})
     at = text.index("x9!")
