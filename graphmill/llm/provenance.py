@@ -1,42 +1,51 @@
 """Generated, minified, vendored and data files, told apart from hand-written ones.
 
-The token classes of a file are compressed by Re-Pair: the most frequent pairs become rules, round by round. What a
-tool wrote reuses few rules very often and shrinks to a small part of its length, far below what a hand-written file
-of that length does. Literals that are dense (no words, hardly a repeated character pair) make a blob of a file that
-consists of them. The phrases of a file, its lines without blanks and remarks, are rules too; a file most of whose
-specific phrases stand in one library file was taken over. Marks that tools leave (remarks, names, folders, metadata)
-are read beside that.
+1. The token classes of a file are compressed by Re-Pair: the most frequent pairs become rules, round by round. What a
+   tool wrote reuses few rules very often and shrinks to a small part of its length, far below what a hand-written file
+   of that length does. Literals that are near-incompressible (no words, hardly a repeated character pair) make a blob of
+   a file that consists of them.
+2. A phrase, a specific line without blanks, that stands in several places is a rule of the grammar of the whole corpus.
+   Phrases are counted by repository and joined by hash; a file most of whose phrases stand in one library file, or
+   nearly all in several repositories, was taken over.
+3. Marks that tools leave (remarks, names, folders, metadata) decide only what grammar and rules leave open.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stored, table
 from .lexing import lexer
 
 KINDS = ("vendored", "generated", "minified", "data")
-#: The library phrases are kept in every worker, which is checked; a larger library needs a join instead.
-MOST_PHRASES = 500_000
+#: What decided: the grammar of the file, its literals, rules shared with a library or repositories, long lines, a mark, a path.
+EVIDENCE = ("grammar", "literals", "rules", "lines", "mark", "path")
 #: Rules are numbered above all code points. A pair is replaced together with one that is at most so much more frequent.
 FIRST_RULE = 0x110000
 NEARLY = 0.7
-SHARED_PART = 0.6
+#: Part of a file's phrases that stand in one library file, or in so many repositories, of a file that was taken over.
+LIBRARY_PART = 0.6
+LEAST_PHRASES = 3
+MANY_PART = 0.9
+MANY_OWNERS = 3
+LEAST_SHARED = 6
+#: Part of the text in near-incompressible literals, alone and beside a grammar of few rules.
 DENSE_PART = 0.7
+DENSE_RECORDS = 0.5
 
 #: Folders and names that tools and package managers use, and remarks that tools leave.
 _THIRD_PARTY = {"vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "deps", "external", "extern", "bower_components", "node_modules", "site-packages", "Pods", "jspm_packages"}
 _MADE = {"generated", "gen", "autogen", "__generated__", "generated-sources", "codegen-out"}
 _MADE_NAME = re.compile(r"_pb2(?:_grpc)?\.pyi?$|\.pb\.(?:go|ts|js)$|(?:Generated|OuterClass|Grpc)\.java$|[._](?:generated|gen|g)\.\w+$|_string\.go$", re.A)
-_LOCK_NAME = re.compile(r"(?:^|[-_.])lock\.(?:json|ya?ml)$|\.lock$|^(?:go\.sum|npm-shrinkwrap\.json)$")
+_LOCK_NAME = re.compile(r"(?:^|[-_.])lock\.(?:json|ya?ml)$|\.lock(?:file)?$|^(?:go\.sum|(?:npm-)?shrinkwrap\.(?:json|ya?ml))$")
 _SMALL_NAME = re.compile(r"[.\-]min\.(?:js|mjs|css)$")
 _REMARK = re.compile(r"\s*(?://|#|/?\*|--|<!--|;)")
 _SAYS_MADE = re.compile(
@@ -47,7 +56,7 @@ _HEADER = re.compile(
     r"|(?:import|from\s+[\w.]+\s+import)\s*\([^)]*\)|import\s[^;\"'()=]*\sfrom\b[^\n]*|(?:package|import|from|using)\s[^\n]*|([\"'])use \w+\2;?|<\?[\s\S]*?\?>|<!(?i:doctype)[^>]*>"
     r"|[rRuU]?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''))"
 )
-_LANGUAGE = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "java": "java", "go": "go"}
+_LANGUAGE = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "java": "java", "go": "go", "json": "json"}
 _PLAIN_LINE = re.compile(r"\s*(?://|#|\*|/\*|return\b|for\b|if\b|else\b|default\b|import\b|from\b|package\b|case\b|switch\b|break\b|try\b|[})\]])")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|\b(?:0x[0-9a-fA-F]+|\d+)\b")
 
@@ -194,88 +203,117 @@ def phrases(text: str) -> set[str]:
     return {"".join(line.split()) for line in text.split("\n") if len(line) > 14 and not _PLAIN_LINE.match(line)}
 
 
-class Judge:
-    def __init__(self, library: dict[str, int]) -> None:
-        self.library = library
-
-    def copied(self, text: str) -> bool:
-        found = phrases(text)
-        if not found:
-            return False
-        owners = Counter(filter(None, map(self.library.get, found)))
-        return bool(owners) and max(owners.values()) >= max(3, SHARED_PART * len(found))
-
-    def kind(self, path: str | None, text: str | None, metadata: dict[str, str]) -> str | None:
-        parts = (path or "").split("/")
-        name = parts[-1]
-        if _THIRD_PARTY.intersection(parts[:-1]) or (metadata.get("origin") or "").startswith("third"):
-            return "vendored"
-        if (
-            _LOCK_NAME.search(name) or _MADE_NAME.search(name) or _MADE.intersection(parts[:-1]) or metadata.get("generated") == "true" or metadata.get("generator")
-            or (metadata.get("origin") or "").startswith("codegen")
-        ):
-            return "generated"
-        if _SMALL_NAME.search(name):
-            return "minified"
-        if not text:
-            return None
-        language = _LANGUAGE.get(name.rpartition(".")[2].lower())
-        if says_made(text, language):
-            return "generated"
-        if self.copied(text):
-            return "vendored"
-        if language is None:
-            return None
-        if is_minified(text):
-            return "minified"
-        if dense_part(text) >= DENSE_PART:
-            return "data"
-        return "generated" if made_by_grammar(lexer(language).kinds(text)) else None
-
-
-def library_phrases(library: DataFrame) -> dict[str, int]:
-    """Phrase to library file, for the phrases of one file only. The library is a fixed small table; its size is checked."""
-    rows = library.select("file_key", "source_code").where("source_code is not null")
-    size = rows.agg(F.sum(F.length("source_code"))).first()[0] or 0
-    if size > MOST_PHRASES * 40:
-        raise ValueError(f"a library of {size} characters is too large to keep in every worker")
-    owners: dict[str, set[int]] = {}
-    for key, text in rows.collect():
-        for phrase in phrases(text):
-            owners.setdefault(phrase, set()).add(key + 1)
-    return {phrase: next(iter(keys)) for phrase, keys in owners.items() if len(keys) == 1}
-
-
-def file_kind(path: Column, text: Column, metadata: Column, library: dict[str, int]) -> Column:
-    """One of KINDS, or null for a hand-written file.
+def by_path(path: str | None, metadata: dict[str, str]) -> str | None:
+    """The kind that folders, the name and the metadata of a file tell."""
+    parts = (path or "").split("/")
+    name = parts[-1]
+    if _THIRD_PARTY.intersection(parts[:-1]) or (metadata.get("origin") or "").startswith("third"):
+        return "vendored"
+    if (
+        _LOCK_NAME.search(name) or _MADE_NAME.search(name) or _MADE.intersection(parts[:-1]) or metadata.get("generated") == "true" or metadata.get("generator")
+        or (metadata.get("origin") or "").startswith("codegen")
+    ):
+        return "generated"
+    return "minified" if _SMALL_NAME.search(name) else None
+
+
+def by_text(text: str, language: str | None) -> tuple[str | None, str | None]:
+    """(kind, evidence) of a text: the grammar first, then literals, lines and remarks.
+
+    Configuration (json and what has no lexer) is a list of records by nature; there a small grammar counts only
+    beside literals that are mostly near-incompressible, as in the digests of a lock file.
+    """
+    if language and language != "json" and made_by_grammar(lexer(language).kinds(text)):
+        return "minified" if is_minified(text) else "generated", "grammar"
+    dense = dense_part(text) if language else 0.0
+    if language == "json":
+        if dense >= DENSE_RECORDS and repair(lexer(language).kinds(text))[0] < 0.1 * text.count('"'):
+            return "generated", "grammar"
+    elif dense >= DENSE_PART:
+        return "data", "literals"
+    if language and language != "json" and is_minified(text):
+        return "minified", "lines"
+    return ("generated", "mark") if says_made(text, language) else (None, None)
+
+
+def verdict(path: str | None, text: str | None, metadata: dict[str, str]) -> tuple[str | None, str | None]:
+    """(kind, evidence) of a file by itself. A third-party folder names the kind even where the text was judged first."""
+    told = by_path(path, metadata)
+    kind, evidence = by_text(text, _LANGUAGE.get((path or "").rpartition(".")[2].lower())) if text else (None, None)
+    return (told if told == "vendored" else kind or told), evidence or (told and "path")
+
+
+def _hash(phrase: str) -> int:
+    h = xxhash.xxh64_intdigest(phrase.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def phrase_hashes(text: Column) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([[_hash(p) for p in phrases(t or "")] for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return cut(text)
+
+
+_TOLD = pa.struct([("kind", pa.string()), ("evidence", pa.string()), ("phrases", pa.list_(pa.int64()))])
+
+
+def file_verdict(path: Column, text: Column, metadata: Column) -> Column:
+    """`kind` (one of KINDS, or null), `evidence` and the hashes of the `phrases` of a file by itself.
 
     Null paths, texts and metadata tell nothing; an empty text is judged by its path and metadata alone.
     """
-    shared = json.dumps(library)
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<kind:string,evidence:string,phrases:array<bigint>>")
     def judge(paths: pa.Array, texts: pa.Array, data: pa.Array) -> pa.Array:
-        global _judge
-        if _judge is None or _judge[0] != hash(shared):
-            _judge = (hash(shared), Judge(json.loads(shared)))
-        of = _judge[1].kind
         rows = zip(paths.to_pylist(), texts.to_pylist(), data.to_pylist(), strict=True)
-        return pa.array([of(p, t, dict(m or ())) for p, t, m in rows], pa.string())
+        out = []
+        for path, text, told in rows:
+            kind, evidence = verdict(path, text, dict(told or ()))
+            out.append({"kind": kind, "evidence": evidence, "phrases": [_hash(p) for p in phrases(text or "")]})
+        return pa.array(out, _TOLD)
 
     return judge(path, text, metadata)
 
 
-_judge: tuple[int, Judge] | None = None
+def library_rules(library: DataFrame) -> DataFrame:
+    """`h, library`: phrases of one library file only."""
+    rows = library.where("source_code is not null").select("file_key", F.explode(phrase_hashes(F.col("source_code"))).alias("h")).distinct()
+    return rows.groupBy("h").agg(F.min("file_key").alias("library"), F.count(F.lit(1)).alias("n")).where("n = 1").select("h", "library")
+
+
+def shared_rules(files: DataFrame, library: DataFrame) -> DataFrame:
+    """`k1, k2, from_library, from_many`: how many phrases of a file stand in the library file that has most of them, and
+    how many in MANY_OWNERS repositories or more (a missing repository is one of its own).
+
+    Owners are counted after the phrases were made distinct by repository, so that a phrase of a third of all files is a
+    row a repository; the join back carries hashes alone and is left to the engine's split of skewed keys.
+    """
+    stands = files.select("k1", "k2", F.coalesce("repository_id", F.lit("")).alias("owner"), F.explode("phrases").alias("h"))
+    many = stands.groupBy("h").agg(F.count_distinct("owner").alias("owners")).where(F.col("owners") >= MANY_OWNERS)
+    rules = many.join(library_rules(library), "h", "full_outer")
+    counted = stands.join(rules, "h").groupBy("k1", "k2", "library").agg(F.count(F.lit(1)).alias("n"), F.count("owners").alias("m"))
+    return counted.groupBy("k1", "k2").agg(F.max(F.when(F.col("library").isNotNull(), F.col("n"))).alias("from_library"), F.sum("m").alias("from_many"))
 
 
 def judged_files(entities: DataFrame, library: DataFrame) -> DataFrame:
-    """`entity_id, version, kind` of every file version, `kind` null where it is hand-written.
+    """`entity_id, version, kind, evidence` of every file version, both null where it is hand-written.
 
     Of a version delivered more than once the last delivery counts. An empty table gives no rows.
     """
-    files = entities.where("entity_type = 'File'").select("entity_id", "version", "ingested_at", "file_path", "source_code", "metadata")
-    told = files.withColumn("kind", file_kind(F.col("file_path"), F.col("source_code"), F.col("metadata"), library_phrases(library)))
-    return told.groupBy("entity_id", "version").agg(F.max_by(F.struct("kind"), "ingested_at").alias("r")).select("entity_id", "version", "r.kind")
+    files = entities.where("entity_type = 'File'").select("entity_id", "version", "repository_id", "ingested_at", "file_path", "source_code", "metadata")
+    told = files.withColumn("v", file_verdict(F.col("file_path"), F.col("source_code"), F.col("metadata")))
+    last = told.groupBy("entity_id", "version").agg(F.max_by(F.struct("repository_id", "v"), "ingested_at").alias("r")).select(
+        "entity_id", "version", F.xxhash64("entity_id", "version").alias("k1"), F.xxhash64("version", "entity_id").alias("k2"), "r.repository_id", "r.v.*"
+    )
+    judged = stored(last, "judged")
+    n = F.size("phrases")
+    many = (n >= LEAST_SHARED) & (F.col("from_many") >= n * MANY_PART) & ~F.col("evidence").eqNullSafe("grammar")
+    taken = F.coalesce(F.col("from_library") >= F.greatest(F.lit(LEAST_PHRASES), n * LIBRARY_PART), F.lit(False)) | F.coalesce(many, F.lit(False))
+    return judged.join(shared_rules(judged, library), ["k1", "k2"], "left").select(
+        "entity_id", "version", F.when(taken, "vendored").otherwise(F.col("kind")).alias("kind"), F.when(taken, "rules").otherwise(F.col("evidence")).alias("evidence")
+    )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -238,11 +238,32 @@ def test_kinds_of_files(spark):
         ("h", "1", "r", "h.js", "// moved\n" + lib.replace("special3Case", "renamed"), None), ("i", "1", "r", None, None, None), ("j", "1", "r", "j.go", "// Code generated by x. DO NOT EDIT.\npackage a\n", None), ("k", "1", "r", "k.py", "", {"generated": "true"}), ("b", "1", "r", "x/b.py", HAND, None),
     ]
     library = spark.createDataFrame([(1, lib), (2, None)], "file_key long, source_code string")
-    got = {r.entity_id: r.kind for r in provenance.judged_files(_entity(spark, rows), library).collect()}
+    got = {r.entity_id: r for r in provenance.judged_files(_entity(spark, rows), library).collect()}
+    assert {e: r.evidence for e, r in got.items() if e in "abcefhjk"} == {"a": "grammar", "b": None, "c": "path", "e": "grammar", "f": "literals", "h": "rules", "j": "mark", "k": "path"}
+    got = {e: r.kind for e, r in got.items()}
     assert got == {"a": "generated", "b": None, "c": "vendored", "d": None, "e": "minified", "f": "data", "g": "generated", "h": "vendored", "i": None, "j": "generated", "k": "generated"}
     assert provenance.judged_files(_entity(spark, rows).limit(0), library.limit(0)).count() == 0
 
 
+def test_phrases_of_several_repositories_were_taken_over(spark):
+    shared = "\n".join(f"function special{i}Case(value{i}, other) {{ return value{i} * {i} + other; }}" for i in range(9))
+    own = lambda k: "\n".join(f"function own{k}Case{i}(value{i}, other) {{ return other - value{i}; }}" for i in range(9))
+    rows = [(f"s{i}", "1", r, f"a/s{i}.js", shared, None) for i, r in enumerate(("r1", "r2", None, "r1"))] + [(f"o{i}", "1", f"r{i}", f"a/o{i}.js", own(i) + "\n" + shared[:200], None) for i in range(4)]
+    library = spark.createDataFrame([], "file_key long, source_code string")
+    got = {r.entity_id: (r.kind, r.evidence) for r in provenance.judged_files(_entity(spark, rows), library).collect()}
+    assert got == {**{f"s{i}": ("vendored", "rules") for i in range(4)}, **{f"o{i}": (None, None) for i in range(4)}}
+    two = [r for r in rows if r[2] in ("r1", "r2")]
+    assert not [r for r in provenance.judged_files(_entity(spark, two), library).collect() if r.kind]
+
+
+def test_a_lock_file_under_another_name_is_generated():
+    rng = random.Random(9)
+    digest = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(86))
+    lock = json.dumps({"packages": {f"p{i}": {"version": f"{i}.1.2", "integrity": f"sha512-{digest()}=="} for i in range(40)}}, indent=2)
+    plain = json.dumps({"rows": [{"name": f"row {i}", "size": i, "note": "kept for the night run"} for i in range(40)]}, indent=2)
+    assert provenance.verdict("a/deps-state.json", lock, {}) == ("generated", "grammar") and provenance.verdict("a/rows.json", plain, {}) == (None, None)
+
+
 @pytest.mark.parametrize(
     ("name", "text", "good"),
     [
