@@ -2,17 +2,17 @@
 
 High-recall patterns propose spans of five kinds, which may overlap. Each proposal is described by features of its
 format and its context, boosted trees per kind give it a score, and what passes the threshold calibrated for its kind is
-kept, the best where spans overlap. The trees are fitted on the driver, once a process, from
-twice SAMPLE sentences that a seeded generator puts together from templates with and without personal information; no
-row of the data is used.
+kept, the best where spans overlap. There is no list of names: a name is proposed by its shape, and the trees see how
+common its words are (whether public vocabularies have them in lower case, with a capital only or not at all), whether
+the text has them in lower case or in a mail address, and what stands around them. The trees are fitted on the driver,
+once a process, from the sentences of `sentences`; no row of the data is used.
 """
 
 from __future__ import annotations
 
-import random
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,37 +20,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import sentences
 from .boosting import Boosted
 
 KINDS = ("email", "phone", "identity", "address", "name")
 #: Bound of the labelled sample: so many sentences with and as many without personal information. A quarter of the
-#: proposals in them is held out for the thresholds.
-SAMPLE = 2000
+#: frames is held out for the thresholds.
+SAMPLE = 6000
 SEED = 20
 
-#: Given names, particles, titles and street words of several languages.
-GIVEN = set(
-    "Adam Agnes Ahmed Aisha Alan Albert Alejandro Alex Alexander Alice Amina Amy Ana Andrea Andrew Anna Anne Antonio Ben Bernd Björn Bruno Carla Carlos Carmen Carol Charles Chloé Chris Claire "
-    "Clara Claudia Daniel Dario David Diana Diego Edward Elena Elif Elisa Elizabeth Emily Emma Eric Eva Ewa Farid Fatima Felix Fernando Francesca Frank George Georg Greta Hanna Hans Harry Helen "
-    "Henrik Henry Hugo Ilka Ines Ingrid Isabel Ivan Jack Jacob James Jan Jane Javier Jean John Jonas Jorge José Joseph Juan Julia Julie Jürgen Karen Karl Katja Kevin Klaus Laura Lena Leon Lisa "
-    "Louis Luc Lucas Lucia Luis Luka Maja Manuel Marc Maria Marie Mark Marta Martin Mary Max Michael Miguel Mireille Mohammed Nadia Nicolas Nils Nina Odile Oksana Olga Olivia Omar Oscar Pablo "
-    "Patricia Paul Paula Pedro Peter Pierre Pilar Quentin Rachel Rafael Renée Richard Robert Rosa Ruben Ruth Samuel Sanna Sara Sarah Simon Sofia Sophie Stefan Susan Sven Teresa Thomas Tilda Tim "
-    "Tomasz Ulla Uwe Victor Wanda Werner William Xenia Yara Yusuf Yves Zoltan Zoë".split()
-)
+#: Particles, titles, street words and common words of several languages.
 _PARTICLE = r"(?:van[ \n]der|van den|van de|van|von der|von|de[ \n]la|de los|de|del|della|di|da|dos|du|den|ter|bin|ibn|al|el|la|le)"
 _TITLE = re.compile(r"(?:^|[^\w])(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mme|Mlle|Frau|Herrn?|Sra?|Srta|Señora?|Don|Doña|Madame|Monsieur|Sir|Ing)\.?\s$")
 _TITLE_WORD = re.compile(r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mme|Mlle|Frau|Herrn?|Sra|Sr|Srta|Señora?|Madame|Monsieur|Sir|Ing|Dear|Hola|Hallo|Hi|Hello|Bonjour|Liebe|Lieber|Querid[oa]|Cher|Chère)\.?$", re.I)
 _NO_NAME = set(
-    "The This That These A An Our My Your Their Its Each Every No Release Order Ticket Build Trace Pinned Write Use Clone Main Helper See Does Do After Before Whoever Listening Elapsed Checksum Ids Error Warning Fixed Closes "
-    "Avenue Street Road Lane Row Close Calle Flat Tras Es Nach Sans Sin Le La Les Der Die Das El Los Las Un Une Ein Eine Und And Or For With From By To In On At Is Are Was National Insurance Social Security Steuer Meeting "
-    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December I We You He She It They Send Please Call Ring Contact Reported Signed "
-    "Reviewed Bitte Laut Selon Según According Merci Enviar Envoyer Gemeldet Signalé Informado Rückfragen Questions Dudas Dump Fixture Adresse Dirección Graph Parser Writer Loader Reader Server Service Classes API URL SQL HTTP".split()
+    "The This That These Those A An Our My Your Their Its Each Every No And Or But For With From By To In On At Of Is Are Was Were If When While Because Since After Before We You He She It They I "
+    "Der Die Das Ein Eine Und Oder Mit Von Für Nach Le La Les Un Une Et Ou Avec Pour Par El Los Las Una Y O Con Por Para "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
 )
-_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŽŠČ][^\W\d_]+(?:['’][^\W\d_]+)?"
+_AGENT = set("by from with to for and or as ask asked tell told met cc via of von mit an für und nach bei laut par avec à pour et de selon au por con para y a según called named signed wrote".split())
+_KEY = re.compile(r"(?i)(?:author|maintainer|owner|user|contact|review(?:er)?|person|customer|patient|applicant|assignee|attn|name|by|who|from|to|cc|ansprechpartner|kontakt|auteur|contacto|contact)(?:[\"'\s]*[:=]\s*[\"'<]?|\s[\"'])$")
+_GREETING = re.compile(r"(?i)(?:dear|hi|hello|hallo|hola|bonjour|liebe[r]?|querid[oa]|estimad[oa]|ch[eè]re?|thanks|thank you|danke|merci|gracias|sorry|well|regards|grüßen|saludo|cordialement)\W{0,3}$")
+_CAP = r"(?:[A-Z]['’])?[A-ZÀ-ÖØ-ÞŁŚŻŽŠČ][^\W\d_]+(?:['’][^\W\d_]+)?"
 _SURNAME = rf"(?:{_PARTICLE}[ \n])?{_CAP}(?:-{_CAP})*"
 _NAMES = re.compile(
     rf"(?<![\w.@/\\-])(?=({_CAP}(?:-{_CAP})?(?:[ \n][A-Z]\.)?[ \u00a0\n]{_SURNAME}|[A-Z]\.[ \n](?:[A-Z]\. )?{_SURNAME}|{_SURNAME},[ \n](?:{_CAP}(?:-{_CAP})?|[A-Z]\.))(?![\w@]|-\w))"
 )
+#: Three names, beside the two that the pattern above finds at the same place.
+_LONGER = re.compile(rf"(?<![\w.@/\\-])(?=({_CAP}(?:-{_CAP})? {_CAP} {_SURNAME})(?![\w@]|-\w))")
 _EMAILS = re.compile(
     r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}(?:@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z][\w-]*|(?:%40)(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,}"
     r"| ?[\[({<] ?(?:at|arroba|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?)[A-Za-z0-9-]{1,63}){1,6}|(?: at | AT )[A-Za-z0-9-]{1,63}(?:(?: dot | DOT )[A-Za-z0-9-]{1,63}){1,6})"
@@ -76,19 +73,13 @@ _FORMATS = tuple(
         r"(?:(?:\+33|0033) ?(?:\(0\))? ?|0)[1-9](?:[ .\-]?\d{2}){4}", r"\(?(?:\+34|0034)\)? ?[6789]\d{2}(?:[ \-]?\d{2,3}){2,3}", r"[679]\d{2}(?:[ \-]\d{3}){2}|[679]\d{2}(?:[ \-]\d{2}){3}",
     )
 )
-_REACH = re.compile(r"(?i)(?:call|phone|tel|telefon|téléphone|teléfono|ring|mobile|cell|fax|anrufen|unter|appeler|appelez|llamar|al|au|on-call|number|contact|whatsapp|sms|dial|reach|oder|ou|or|o|at)\W{0,6}$|[@\]](?:[\w.\[\] ]{3,40})[,;:\" ]+(?:tel\W+)?$|[|,;]\s?$")
-_COUNTS = re.compile(r"(?i)(?:build|elapsed|trace|version|listening|port|ids?|run|ticket|order|checksum|commit|pinned|took|code|size|offset|line|took|since|on)\W{0,3}$")
+_REACH = re.compile(r"(?i)(?:call|phone|tel|telefon|téléphone|teléfono|ring|mobile|cell|fax|unter|al|au|number|contact|sms|dial|reach|oder|ou|or|o|at|on|numbers|nummer|numéro|número)\W{0,6}$|[@\]](?:[\w.\[\] ]{3,40})[,;:\" ]+(?:tel\W+)?$|[|,;]\s?$")
+_COUNTS = re.compile(r"(?i)(?:build|version|ports?|ids?|run|ticket|order|checksum|sha|commit|took|code|size|offset|lines?|rows?|page|since|job|node|total|sum|ref|serial|batch|case|item|part|range)\W{0,3}$")
 _UNITS = re.compile(r"^\W{0,2}(?:ms|s|took|MB|KB|GB|rows|runs|bytes|px|times|of|%|/)\b|^[.:]\d")
 _LABEL = re.compile(
     r"(?i)(?:ssn|social security(?: (?:number|no\.?))?|passport(?: (?:number|no\.?))?|national insurance(?: (?:number|no\.?))?|\bni(?:no| number)|tax id|tin|steuer-?(?:id(?:nr)?|identifikationsnummer|nummer)|ausweis(?:nummer|nr)?|reisepass(?:nummer)?|personalausweis(?:nummer)?"
-    r"|nir|insee|n[°º] de sécurité sociale|numéro de sécurité sociale|passeport|n[°º] fiscal|dni|nie|nif|pasaporte|seguridad social|sozialversicherungsnummer|id card|identity (?:card|number))[\s.]*(?:n[°ºr.]+|no\.?|number|nummer)?[\s:=#]*\W{0,2}$"
-)
-_PERSON_CUE = re.compile(
-    r"(?i)(?:by|from|with|ask(?:ed)? for|ask(?:ed)?|met|think|call|cc|author|owner|name|fullname|user|reviewer|reviewed-by|signed-off-by|co-authored-by|reported|according to|laut|selon|según|von|par|por|d'appeler|llamar a|bitte|hallo|hola|dear|bonjour|hi|thanks|and|et|und|y|told|says|contact|mr|frau|herr|mme|la sra|el sr|für|for|to|an|assignee|@author|;|\|)\W{0,5}$"
+    r"|nir|insee|n[°º] de sécurité sociale|numéro de sécurité sociale|passeport|n[°º] fiscal|dni|nie|nif|pasaporte|seguridad social|sozialversicherungsnummer|id card|identity (?:card|number))[\s.]*(?:n[°ºr.]+|no\.?|number|nummer)?[\s:=#]*\W{0,4}$"
 )
-_PERSON_NEXT = re.compile(r"^(?:\W{0,3}(?:<|\(|\"|\||;|,|:)|\s(?:broke|yesterday|has|war|kennt|revisó|a relu|wrote|who|said|asked|and|et|und|y|at|au|al|unter|est|is|was|will|addr|reported|fixed|knows|hat|ha)\b|\W*$|\W*\n)")
-
-
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - 48) : start].replace("\n", " "), text[end : end + 24]
 
@@ -126,7 +117,7 @@ def _identity(text: str, start: int, end: int) -> list[int]:
     before, after = _context(text, start, end)
     found = text[start:end].replace("\n", " ")
     fits = [bool(f.match(found)) for f in _ID_FORMATS]
-    return [*fits, bool(_LABEL.search(before)), bool(_COUNTS.search(before)), bool(_UNITS.match(after)), bool(re.search(r"(?i)(?:rejected id|id=|holds|identity)\W*$", before)), bool(re.match(r"\W{0,2}(?:for|are|is|matched|,)\b", after)), bool(_REACH.search(before))]
+    return [*fits, bool(_LABEL.search(before)), bool(_COUNTS.search(before)), bool(_UNITS.match(after)), bool(re.search(r"(?i)(?:\bid|number|no|nr|nummer|numéro|número)\W*$", before)), bool(re.match(r"\W{0,2}(?:[a-z])", after)), bool(_REACH.search(before))]
 
 
 def _address(text: str, start: int, end: int) -> list[int]:
@@ -136,8 +127,8 @@ def _address(text: str, start: int, end: int) -> list[int]:
     french = bool(re.match(r"\d+(?:\s?\w+)?,?\s[a-zé]", found))
     german = bool(_GERMAN.search(found))
     spanish = bool(re.match(r"Calle|C/|Aven|Avda|Plaza|Paseo|Camino|Ronda|Carr|V[íi]a", found))
-    return [english, french, german, spanish, bool(re.search(r"\d{4,5}", found)), "," in found, bool(re.search(r"(?i)(?:send|to|home|addr(?:ess|esse)?|moved to|lives at|dirección|livraison|matériel au|a|an|at|hardware|equipo|visit|row|,|;|:|=|\")\W{0,3}$", before)),
-            bool(re.match(r"\W*(?:of the|slots|rows|classes|files)", after)), any(c.isdigit() for c in found), found[:4] == "Flat"]
+    return [english, french, german, spanish, bool(re.search(r"\d{4,5}", found)), "," in found, bool(re.search(r"(?i)(?:to|home|addr(?:ess|esse)?|lives at|anschrift|domicile|dirección|a|an|au|à|at|en|in|,|;|:|=|\")\W{0,3}$", before)),
+            bool(re.match(r"\s[a-z]+", after)), bool(re.match(r"[.,;:|\"\n]|$", after)), bool(re.match(r"[-. /]?\d", after)), any(c.isdigit() for c in found), found[:4] == "Flat"]
 
 
 _INNER_PARTICLE = re.compile(rf"(?:^|\s){_PARTICLE}\s")
@@ -145,24 +136,76 @@ _GOES_ON = re.compile(rf"[ ](?:{_CAP}|{_PARTICLE} {_CAP})")
 _CAPITAL_LAST = re.compile(rf"(?:{_CAP}|[A-Z]\.)$")
 
 
+_NEAR = re.compile(r"@|[\[(]at[\])]|%40|\+?\d[\d ().\-/]{6,}\d")
+_REVERSE_NEXT = re.compile(rf",[ \n](?:{_CAP}|[A-Z]\.)")
+_DIGIT_OR_LETTER = re.compile(r"[^\W_]+")
+
+
+@lru_cache(maxsize=4)
+def _boxes(text: str) -> str:
+    """The local parts of the mail addresses of a text."""
+    return " ".join(text[max(0, m.start() - 40) : m.start()].rpartition(" ")[2].lower() for m in _AT.finditer(text))
+
+
+def _stands(word: str, text: str) -> bool:
+    """Whether the text has a word in lower case, between blanks or before a mark."""
+    return f" {word} " in text or f" {word}s " in text or f" {word}," in text or f" {word}." in text
+
+
+def _common(word: str, known: frozenset[str]) -> int:
+    """3 for a word that the vocabularies have in lower case, 2 with a capital only, 1 if it ends with such a word, else 0."""
+    low = word.lower()
+    if low in known:
+        return 3
+    if low.capitalize() in known:
+        return 2
+    return int(len(low) > 5 and (low[:-1] in known and low[-1] == "s" or low[:-2] in known))
+
+
+def _before(before: str) -> int:
+    """What stands before: nothing, a mark that opens or parts, the end of a sentence, an agent word, a word, a capital."""
+    last = before.rstrip(" ")
+    if not last or last[-1] in "\n":
+        return 0
+    if not last[-1].isalnum():
+        return 2 if last[-1] in ".!?" else 1
+    word = _DIGIT_OR_LETTER.findall(last)[-1:]
+    if not word:
+        return 1
+    return 3 if word[0].lower() in _AGENT else 5 if word[0][0].isupper() else 4
+
+
+def _after(after: str) -> int:
+    rest = after.lstrip(" ")
+    if not rest or rest[0] == "\n":
+        return 0
+    if rest[0] in "<([":
+        return 1
+    if rest[0] in ",;|\"'":
+        return 2
+    if rest[0] in ".:!?":
+        return 3
+    return 4 if rest[0].islower() else 5 if rest[0].isupper() else 6
+
+
 def _name(text: str, start: int, end: int) -> list[int]:
-    before, after = _context(text, start, end)
+    lead = text[max(0, start - 48) : start]
+    before, after = lead.replace("\n", " "), text[end : end + 24]
     found = text[start:end]
     words = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", found)
     reverse = "," in found
     capital = [w for w in words if w[0].isupper()]
-    given = capital[-1] if reverse else capital[0]
-    surname = capital[0] if reverse else capital[-1]
-    known = given.capitalize() in GIVEN or given.split("-")[0].capitalize() in GIVEN
-    other = surname.capitalize() in GIVEN
+    given, surname = (capital[-1], capital[0]) if reverse else (capital[0], capital[-1])
+    known = sentences.vocabulary()
     initial = bool(re.match(r"[A-Z]\.", found)) or bool(re.search(r",\s[A-Z]\.$", found))
-    upper = found.upper() == found
+    boxes = _boxes(text)
     last = before.rstrip(" ").rpartition(" ")[2]
-    low = surname.lower()
+    first_part, low = given.lower().split("-")[0], surname.lower().split("-")[0]
+    g, s = 0 if initial else _common(first_part, known), _common(low, known)
     return [
-        known, other, reverse, initial, upper and len(given) > 2, bool(_INNER_PARTICLE.search(found)), "-" in surname, bool(_TITLE.search(before)), bool(_PERSON_CUE.search(before)), bool(_PERSON_NEXT.match(after)),
-        bool(_GOES_ON.match(after)), bool(_CAPITAL_LAST.match(last)) and not _TITLE_WORD.match(last), any(w in _NO_NAME or w.capitalize() in _NO_NAME for w in (given, surname)), bool(_TITLE_WORD.match(given)),
-        min(len(surname), 15), f" {low} " in text or f" {low}s " in text, bool(re.match(r"[-]\w", after)), start == 0 or text[start - 1] == "\n", bool(re.search(r"[#*]\s*$", before)),
+        g, s, g * 4 + s, reverse, initial, found.upper() == found and len(given) > 2, bool(_INNER_PARTICLE.search(found)), "-" in surname, bool(_TITLE.search(before)), bool(_KEY.search(before)), bool(_GREETING.search(before)),
+        _before(lead), _after(after), bool(_NEAR.search(after)), bool((on := _GOES_ON.match(after)) and on[0].split()[-1] not in _NO_NAME), 0 if not _CAPITAL_LAST.match(last) or _TITLE_WORD.match(last) or last.lower() in _AGENT else 1 if _common(last, known) == 3 else 2, any(w.capitalize() in _NO_NAME for w in (given, surname)), bool(_TITLE_WORD.match(given)) or bool(reverse and _TITLE_WORD.match(surname)),
+        min(len(surname), 15), _stands(low, text), _stands(first_part, text), len(low) > 3 and low in boxes, len(first_part) > 2 and first_part in boxes, bool(re.match(r"[-]\w", after)), start == 0 or text[start - 1] == "\n", bool(re.search(r"#\s*$", before)), "\n" in found, len(capital), bool(_REVERSE_NEXT.match(after)),
     ]
 
 
@@ -200,6 +243,8 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
             kinds = ("identity", "address")
             if found := _NAMES.match(text, at):
                 yield "name", at, found.end(1)
+                if longer := _LONGER.match(text, at):
+                    yield "name", at, longer.end(1)
             if at > 2 and text[at - 1] in " \n":
                 begin = max(0, at - 9)
                 while lead := _LEADING.search(text, begin, at):
@@ -241,96 +286,22 @@ def proposals(text: str, spans: Callable[[str], Iterator[tuple[str, int, int]]]
         yield kind, start, end, _PROPOSE[kind][1](text, start, end)
 
 
-def _fill(pick: random.Random) -> dict[str, str]:
-    """Made-up values; surnames, towns and street names are put together from syllables."""
-    syllable = lambda n: "".join(pick.choice("bdfghklmnprstvz") + pick.choice("aeiou") + pick.choice(("", "", "n", "r", "l", "st")) for _ in range(n))
-    d = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
-    given = pick.choice(sorted(GIVEN)) if pick.random() < 0.85 else syllable(2).capitalize()
-    surname = syllable(pick.choice((2, 3))).capitalize()
-    if pick.random() < 0.1:
-        surname += "-" + syllable(2).capitalize()
-    part = pick.choice(("", "", "", "", "", "van der ", "de la ", "von "))
-    full = pick.choice((f"{given} {part}{surname}",) * 5 + (f"{given[0]}. {surname}",) * 3 + (f"{given} {pick.choice('ABDKRT')}. {surname}", f"{surname}, {given}", f"{given} {surname}".upper()))
-    if pick.random() < 0.06:
-        full = full.replace(" ", "\n", 1)
-    word = pick.choice("index cache graph token parser loader shard buffer queue table window stream".split())
-    host = pick.choice(("mail", "corp", "uni", "dev.team")) + "." + pick.choice(("example", "test", "org", "com"))
-    local = pick.choice((f"{given}.{surname}", f"{given[0]}{surname}", f"{surname}+{word}", f"{given}_{surname}{d(2)}", f"{given}{d(3)}", f"{given}-{surname}")).lower().replace(" ", "")
-    local = re.sub(r"[^\w.+-]", "", local)
-    email = pick.choice((f"{local}@{host}",) * 4 + (f"{local} [at] {host.replace('.', ' [dot] ')}", f"{local}(at){host}", f"{local}@{host}".upper()))
-    phone = pick.choice((f"+1-555-555-{d(4)}", f"(555) 555-{d(4)}", f"555.555.{d(4)}", f"+1 555 555 {d(4)}", f"+44 7700 {d(6)}", f"07700 {d(6)}", f"+49 30 {d(5)} {d(3)}", f"(030) {d(8)}", f"030 / {d(5)}-{d(3)}", f"0049 (0)30 {d(8)}",
-                         f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"01.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"+33 (0)1 {d(2)} {d(2)} {d(2)} {d(2)}", f"01 {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 600 {d(3)} {d(3)}", f"600 {d(3)} {d(3)}", f"(+34) 600{d(6)}", f"600-{d(2)}-{d(2)}-{d(2)}"))
-    label, ident = pick.choice((("SSN", f"9{d(2)}-{d(2)}-{d(4)}"), ("social security number", f"9{d(2)} {d(2)} {d(4)}"), ("passport", f"{pick.choice('KLMNU')}{d(8)}"), ("National Insurance no.", f"QQ {d(2)} {d(2)} {d(2)} {pick.choice('ABCD')}"),
-                               ("Steuer-ID", f"{d(2)} {d(3)} {d(3)} {d(3)}"), ("Steuer-IdNr.", d(11)), ("NIR", f"1{d(14)}"), ("n° de sécurité sociale", f"2 {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}"), ("DNI", f"{d(8)}{pick.choice('ABTR')}"), ("DNI nº", f"{d(2)}.{d(3)}.{d(3)}-{pick.choice('TRWA')}"), ("NIE", f"X-{d(7)}-{pick.choice('ABTR')}"), ("pasaporte", f"{pick.choice('XPA')}{pick.choice('ABC')}{d(6)}")))
-    town, road = syllable(3).capitalize(), syllable(2).capitalize()
-    if pick.random() < 0.06:
-        phone, ident = phone.replace(" ", "\n", 1), ident.replace(" ", "\n", 1)
-    n = str(pick.randint(1, 250))
-    address = pick.choice((f"{n} {road} {pick.choice(('Street', 'Road', 'Lane', 'Row', 'Close', 'Rd', 'Ave.'))}, {town} {d(5)}", f"Flat {pick.randint(1, 30)}, {n} {road} Road, {town}", f"{n} bis, avenue {road}, {d(5)} {town}", f"{n} chemin {road}, {d(5)} {town}",
-                           f"{n}, rue {road}, {d(5)} {town}", f"{road}weg {n}, {d(5)} {town}", f"{road}straße {n}a, {d(5)} {town}", f"Am {road}berg {n}, {d(5)} {town}", f"{road}gasse {n}b, {d(5)} {town}", f"{road}str. {n}b, {d(5)} {town}", f"Calle {road}, {n}, {d(5)} {town}", f"{n} {road} Lane"))
-    if pick.random() < 0.15:
-        at = pick.choice([i for i, c in enumerate(address) if c == " "])
-        address = address[:at] + "\n" + address[at + 1 :]
-    elif pick.random() < 0.15:
-        address = address.replace(", ", "\n", 1) if address[:4] != "Flat" else address
-    things = "Amber Falcon Silver Otter Strict Parser Lazy Writer Graph Loader Main Classes Helper Reader Sorted Digest Open Window Cold Storage Batch Runner Token Service North Bridge Quick Start Pull Request Data Model".split()
-    thing = f"{pick.choice(things)} {pick.choice(things)}"
-    return {"name": full, "email": email, "phone": phone, "identity": ident, "address": address, "label": label, "word": word, "thing": thing, "n": n, "d3": d(3), "d2": d(2), "d9": d(9), "given": given}
-
-
-_WITH = (
-    "I think {name} broke the {word}", "According to {name} the {word} was never closed.", "Please call {name} at {phone} before the next release.", "Dear {name},", "Hallo {name},\n", "Hola {name}:", "Reported by {name} <{email}>.", "Signed-off-by: {name} <{email}>",
-    "@reviewer asked Dr. {name} about the {word}", "Frau {name} kennt den {word} am besten.", "Mme {name} a relu le {word}.", "La Sra. {name} revisó el {word}.", "Laut {name} war der {word} schon vorher defekt.", "Selon {name}, le {word} est correct.", "cc {name}, who wrote the {word}",
-    "{name};{email};{phone};{label} = {identity}", "{email},{phone},{address}", '"fullName": "{name}", "home": "{address}"', 'author: "{name}", mail: "{email}", tel: "{phone}"', "name={name} addr={address} id={label}: {identity}", "| {name} | {phone} | {word} |",
-    "Ring {phone} (ask for {name})", "On-call this week: {phone}", "Contact: {email}, phone {phone}.", "If the {word} stays red, write to {email}", "GET /users?mail={email}&mode={word} returned 500", "Rückfragen an {email} oder {phone}", "Questions : {email} ou {phone}", "Dudas: {email} o {phone}",
-    "Bitte {name} unter {phone} anrufen, wenn der {word} hängt.", "Merci d'appeler {name} au {phone} avant la mise en ligne.", "Llamar a {name} al {phone} si el {word} no responde.", "The failing payload holds {label} {identity}, please scrub it.", "rejected id {label}: {identity} for {email}",
-    "Im Testdatensatz steht {label} {identity}.", "La ligne fautive contient {label} {identity}.", "El registro de prueba contiene {label}: {identity}.", "Send the {word} hardware to {address}.", "Meeting room moved to {address}; {name} has the key.", "Adresse de livraison : {address}",
-    "Dirección: {address}", "Rücksendung an {address}.", "Enviar el equipo a {address}.", "Envoyer le matériel au {address}.", "I met {name} yesterday and we agreed on the {word} plan.", "The {word} fix came from {name} and {name2}.", ' * @author {name} <{email}>', 'module:{word} code:owner "{name}" ; code:contact <mailto:{email}> .',
-    "Gemeldet von {name} ({email}).", "Reviewed-by: {name}", "{name};{phone};{email}", "{name};{email}", "{name} <{email}>", "{name} has the key.", "| {name} | {email} |",
-)
-_WITHOUT = (
-    "Release {thing} moves the {word} to {thing}.", "The {thing} calls the {thing}.", "# {thing}\n", "{n} {thing}, {d2} Helper Files.", "Clone it with git@code.example:team/{word}.git and run it.", "Pinned to {word}-kit@4.{d2}.{d3} for now.", "Use @Inject on {word} and @lru_cache@2 on it.", "Write @{word}/index in the owner file.",
-    "Elapsed +{d3} {d2} {d3} ms over {n} runs.", "The build {d3}-{d3}-{d3} took {n} minutes.", "Ids 9{d3}-{d2}-x and {d9}Z are run numbers.", "Listening on 10.0.{d2}.53:8031.", "Trace 2025-03-17 10:28:51.155 at 0x7ffe1800", "Order KG-{d3}587 and ticket #{d3} stay open.", "Checksum {d9}a7b matched.", "Avenue {word} of the grid has {d3} slots.",
-    "{given} said so.", "Version 4.{d2}.{d3} of {word}", "The {word} has {d9} rows.", "The {word} {n} was moved to row {d2}.", "Build {d3} {d2} {d3} failed.", "See {thing} and {thing}.", "Size {d3} {d3} {d3} bytes", "code {d9} of {d3}", "Elapsed +{d2} {d3} {d3} ms over {n} runs.", "The build {d3}-{d2}-{d3} took {n} minutes.",
-)
-
-
-#: Numbers joined to others, where one proposal covers parts of two: a tenth more sentences, which set no threshold.
-_JOINED = ("Call {phone}\n{phone}\n", "{name}\n{phone}\n{phone}\n{word}", "Listening on port 80{d2} {phone} for {word}", "On-call: {phone} {phone}", "| {d3} {phone} | {word} |", "phone {phone}\n{d2}", "{phone} - {phone}")
-
-
 @cache
 def models(sample: int = SAMPLE, seed: int = SEED) -> dict[str, Boosted]:
     """The trees and thresholds of each kind, the same for the same arguments."""
-    pick = random.Random(seed)
-    rows: dict[str, list[tuple[list[int], int]]] = {k: [] for k in KINDS}
-    plain: dict[str, int] = {}
-    for n in range(sample + sample // 10):
-        if n == sample:
-            plain = {kind: len(found) for kind, found in rows.items()}
-        values = _fill(pick) | {"name2": _fill(pick)["name"]}
-        lead = pick.choice(("", "The index team waits. ", "Le cache est vide. ", "\n", "bot: "))
-        joined = n >= sample
-        for frame in (pick.choice(_JOINED),) if joined else (pick.choice(_WITH), pick.choice(_WITHOUT)):
-            text, truth = lead, set()
-            for literal, field in re.findall(r"([^{]*)(?:\{(\w+)\})?", frame):
-                text += literal
-                if field:
-                    kind = "name" if field == "name2" else field
-                    if kind in KINDS:
-                        truth.add((kind, len(text), len(text) + len(values[field])))
-                    text += values[field]
-            text += pick.choice(("", " The old index keeps 30 MB.", "\n"))
-            for kind, start, end, features in proposals(text, _overlapping if joined else _spans):
-                if joined and (kind != "phone" or any(a <= start and end <= b and (a, b) != (start, end) for _, a, b in truth)):
-                    continue  # of a number and its part the longer is kept
-                good = any(k == kind and a == start and (b == end or kind == "address") for k, a, b in truth)
-                rows[kind].append((features, int(good)))
+    rows: dict[str, list[tuple[list[int], int, str]]] = {k: [] for k in KINDS}
+    for text, truth, part in sentences.sample(sample, seed, KINDS):
+        joined = part == "joined"
+        for kind, start, end, features in proposals(text, _overlapping if joined else _spans):
+            if joined and (kind != "phone" or any(a <= start and end <= b and (a, b) != (start, end) for _, a, b in truth)):
+                continue  # of a number and its part the longer is kept
+            good = any(k == kind and a == start and (b == end or kind == "address") for k, a, b in truth)
+            rows[kind].append((features, int(good), part))
     out = {}
     for kind, found in rows.items():
-        x, y = np.array([f for f, _ in found], dtype=np.int64), np.array([g for _, g in found])
-        held = (np.arange(len(y)) % 4 == 0) & (np.arange(len(y)) < plain[kind])
-        out[kind] = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+        x, y = np.array([f for f, *_ in found], dtype=np.int64), np.array([g for _, g, _ in found])
+        held = np.array([part == "held" for *_, part in found])
+        out[kind] = Boosted(trees=60).fit(x[~held], y[~held]).calibrate(x[held], y[held])
     return out
 
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from graphmill.llm import personal
+from graphmill.llm import personal, sentences
 from graphmill.llm.boosting import Boosted
 
 SCHEMA = "doc_id long, text string, mentions string, lang string"
@@ -16,27 +16,34 @@ def test_boosted_trees_learn_an_interaction():
     assert ((model.predict(x[1500:]) >= model.threshold) == y[1500:]).mean() > 0.98 and len(model.predict(x[:0])) == 0
 
 
-def test_held_out_sentences():
-    """Precision and recall on sentences of another seed than the trees were fitted with."""
-    import random
-    import re
+#: Frames and people that stand neither in the sample nor in the test data.
+FRAMES = (
+    "Yesterday evening {} repaired the pump.", "the key is kept by {}", "Voted in: {} (12 votes)", "{} <x.y@corp.test> wrote:", "Signed: {}", "speaker = \"{}\"", "a talk by {} about bees", "Frau {} kommt später.", "Ich habe {} gefragt.", "J'ai parlé avec {} hier.",
+    "Hablé con {} ayer.", "In 2019, {} founded the club.", "{}, our treasurer, resigned.", "The winner was {}.",
+)
+PEOPLE = ("Priyanka Venkataraman", "Hiroshi Tanaka", "Kwame Mensah", "Ingeborg Solheim", "Giulia Ferrarini", "Giulio Marini", "Oluwaseun Adeyemi", "Thandiwe Nkosi", "Siobhan O'Reilly", "Björn Ålund", "María Fernández", "R. Krishnan", "Tanaka, Hiroshi", "Xiu Ying Zhang")
+NO_PEOPLE = (
+    "Release Amber Falcon moves the index to Silver Otter.", "Thanks, Marta, the trigger works.", "The Graph Loader reads the Token Service.", "# Quick Start\n\nGetting Started Guide", "Meeting with Marketing Team on Monday Morning", "Issue: Memory Leak in Worker",
+    "See Pull Request 12 by Marta.", "United States and South Korea", "Read Chapter Two, Section Nine.", "Click Save As and then Print Preview.", "Sincerely, Olga", "Danke, Priyanka, das passt.",
+)
+
 
+def test_names_and_frames_that_no_tree_has_seen():
     trees = personal.models()
-    pick, hit, found, wanted = random.Random(99), 0, 0, 0
-    for _ in range(400):
-        values = personal._fill(pick) | {"name2": personal._fill(pick)["name"]}
-        frame = pick.choice(personal._WITH if pick.random() < 0.6 else personal._WITHOUT)
-        text, truth = "Some words before. ", set()
-        for literal, field in re.findall(r"([^{]*)(?:\{(\w+)\})?", frame):
-            text += literal
-            if field:
-                kind = "name" if field == "name2" else field
-                if kind in personal.KINDS:
-                    truth.add((kind, len(text)))
-                text += values[field]
-        got = {(k, a) for k, a, _ in personal.find([text], trees)[0]}
-        hit, found, wanted = hit + len(got & truth), found + len(got), wanted + len(truth)
-    assert hit / found > 0.93 and hit / wanted > 0.93
+    found = sum(("name", f.index("{}"), f.index("{}") + len(n)) in personal.find([f.format(n)], trees)[0] for f in FRAMES for n in PEOPLE)
+    assert found > 0.9 * len(FRAMES) * len(PEOPLE)
+    assert [t for t in NO_PEOPLE if any(k == "name" for k, _, _ in personal.find([t], trees)[0])] == []
+
+
+def test_held_out_frames():
+    """Precision and recall on the frames that no tree was fitted with, with values of another seed."""
+    trees, hit, found, wanted = personal.models(), 0, 0, 0
+    for text, truth, part in sentences.sample(1200, 99, personal.KINDS):
+        if part == "held":
+            got = {(k, a) for k, a, _ in personal.find([text], trees)[0]}
+            truth = {(k, a) for k, a, _ in truth}
+            hit, found, wanted = hit + len(got & truth), found + len(got), wanted + len(truth)
+    assert hit / found > 0.9 and hit / wanted > 0.9, (hit, found, wanted)
 
 
 def test_mentions_and_placeholders(spark):
@@ -57,6 +64,7 @@ def test_proposals_are_those_of_the_patterns():
     import random
 
     def wanted(text):
+        yield from (("name", m.start(), m.end(1)) for m in personal._LONGER.finditer(text))
         for kind, (pattern, _) in personal._PROPOSE.items():
             for m in pattern.finditer(text):
                 yield kind, m.start(), m.end(1) if kind == "name" else m.end() - (kind == "email" and m[0].endswith("-"))
