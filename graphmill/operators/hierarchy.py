@@ -58,10 +58,24 @@ def _strong_parts(core: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(ahead.select(F.col("n").alias("parent"), F.col("c").alias("cp")), "parent").where("cc = cp").select("child", "parent")
     )
     back = _colours(stored(inner, "inner"), "child", "parent")
-    members = stored(ahead.join(back.select("n", F.col("c").alias("b")), "n").where("c = b").select(F.col("n").alias("node"), F.col("c").alias("label")), "strong")
+    both = stored(ahead.join(back.select("n", F.col("c").alias("b")), "n").where("c = b").select(F.col("n").alias("node"), F.col("c").alias("label")), "strong")
+    several = both.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+    members = stored(both.join(several, "label", "left_semi").select("node", "label"), "strong")
     return members, stored(members.select("node").unionByName(ahead.where("n = c").select(F.col("n").alias("node"))).distinct(), "settled")
 
 
+def strong_parts(links: DataFrame) -> DataFrame:
+    """`node, label` of the nodes of a graph (`child, parent`) on cycles of two or more nodes; nodes of one part share a label."""
+    left, found = stored(links.select("child", "parent").where("child <> parent").distinct(), "links"), []
+    while not left.isEmpty():
+        members, settled = _strong_parts(left)
+        found.append(members)
+        for end in ("child", "parent"):
+            left = left.join(settled.select(F.col("node").alias(end)), end, "left_anti")
+        left = stored(left.select("child", "parent"), "links")
+    return _union(found) if found else links.sparkSession.createDataFrame([], "node string, label string")
+
+
 def cyclic_members(links: DataFrame, most_rounds: int = 400) -> DataFrame:
     """Nodes on a directed cycle of any graph (nodes with several parents too): `member`, each once.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,33 +25,40 @@ def budget_prefix(df: DataFrame, group: str, tokens: str, budget: int, *order: C
 def budget_overshoot(df: DataFrame, group: str, tokens: str, budget: int, *order: Column) -> DataFrame:
     """Items in order until the budget is reached; the last may overshoot it."""
     run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.where("true").withColumn("before", F.coalesce(F.sum(tokens).over(run), F.lit(0))).where(F.col("before") < budget).drop("before")
+    return df.withColumn("before", F.coalesce(F.sum(tokens).over(run), F.lit(0))).where(F.col("before") < budget).drop("before")
 
 
-def budget_fold(df: DataFrame, group: str, key: str, tokens: str, score: str, budget: int, shown: int, truncate: int | None = None) -> DataFrame:
-    """Ordered fold over the best `shown` items of a group: items that do not fit are skipped, or cut if `truncate`
-    tokens or more remain, which ends the fold. `shown` is the feature's own page size and bounds the array.
+def budget_fold(df: DataFrame, group: str, key: str, tokens: str, score: str, budget: int, truncate: int | None = None) -> DataFrame:
+    """Ordered fold over all items of a group, best score first: items that do not fit are skipped, or the first of them is
+    cut if more than `truncate` tokens remain, which ends the fold.
 
-    Columns: the group, `key`, `taken` (tokens of the item that are used).
+    Columns: the group, `key`, `taken` (tokens of the item that are used). Rows come sorted by group and score and stream
+    through the fold, which keeps the room of one group only; ties go to the lower key. Without `truncate` items larger
+    than the whole budget are left out before the shuffle, since they fit nowhere.
     """
-    rank = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(key))
-    page = df.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= shown)
-    items = page.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(key).alias("k"), F.col(tokens).cast("bigint").alias("t")))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("over"), F.array().cast("array<struct<k:bigint,taken:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        room = F.lit(budget) - s["used"]
-        fits = (~s["over"]) & (x["t"] <= room)
-        cut = (~s["over"]) & (x["t"] > room) & (room > (truncate or 0)) if truncate is not None else F.lit(False)
-        taken = F.when(fits, x["t"]).when(cut, room)
-        return F.struct(
-            (s["used"] + F.coalesce(taken, F.lit(0))).alias("used"),
-            (s["over"] | ((~fits) & F.lit(truncate is not None))).alias("over"),
-            F.when(taken.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(x["k"].cast("bigint").alias("k"), taken.cast("bigint").alias("taken"))))).alias("out"),
-        )
-
-    done = items.select(group, F.aggregate("items", start, step).alias("s"))
-    return done.select(group, F.explode("s.out").alias("o")).select(group, F.col("o.k").alias(key), F.col("o.taken").alias("taken"))
+    items = df.select(F.col(group).cast("string").alias("g"), F.col(key).cast("bigint").alias("k"), F.col(tokens).cast("bigint").alias("t"), F.col(score).alias("s"))
+    if truncate is None:
+        items = items.where(F.col("t") <= budget)
+    ordered = items.repartition("g").sortWithinPartitions("g", F.desc("s"), "k").select("g", "k", "t")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, room, over = object(), 0, False
+        for batch in batches:
+            out: list[tuple] = []
+            for g, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != last:
+                    last, room, over = g, budget, False
+                if over or t is None:
+                    continue
+                taken = t if t <= room else room if truncate is not None and room > truncate else None
+                over = truncate is not None and t > room
+                if taken is not None:
+                    room -= taken
+                    out.append((g, k, taken))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["g", "k", "taken"])
+
+    return ordered.mapInArrow(fold, "g string, k bigint, taken bigint").select(F.col("g").alias(group), F.col("k").alias(key), "taken")
 
 
 def keep_last(df: DataFrame, group: str, n: int, *newest_first: Column) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Query vectors that are held in memory at once; more are searched for in further passes over the rows.
 QUERY_BLOCK = 4096
 DIMENSIONS = 100
@@ -34,8 +36,9 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k rows nearest to each query by cosine: `query_id, key, similarity, rank`, the query itself left out.
 
-    The queries are taken in blocks of QUERY_BLOCK, each sent to the executors as one matrix; a batch of rows keeps
-    its own best k for each query, so that what is shuffled is k rows per query and batch. Ties go to the lower id.
+    The queries are taken in blocks of QUERY_BLOCK. Of each block the best are written before the next is read, so that
+    the driver never holds more than one; a task keeps its own best k for each query over all its batches, so that what
+    is shuffled is k rows per query and task. Ties go to the lower id.
     Rows with a null or zero vector are no one's neighbours.
     """
     ids = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v")).where("v is not null")
@@ -44,7 +47,8 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
     for block in range(blocks):
         held = ids.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
         if held:
-            parts.append(_scan(rows, key, vector, k, np.array([r.q for r in held]), np.array([r.v for r in held], dtype=np.float64)))
+            best = _scan(rows, key, vector, k, np.array([r.q for r in held]), np.array([r.v for r in held], dtype=np.float64))
+            parts.append(best if blocks == 1 else stored(best, "nearest"))
     schema = "query_id bigint, row_id bigint, similarity double"
     found = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
@@ -55,6 +59,8 @@ def _scan(rows: DataFrame, key: str, vector: str, k: int, names: np.ndarray, mat
     unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(names), 0), -2.0)
+        ids = np.zeros((len(names), 0), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -63,11 +69,11 @@ def _scan(rows: DataFrame, key: str, vector: str, k: int, names: np.ndarray, mat
             length = np.linalg.norm(vectors, axis=1, keepdims=True)
             near = np.where(length[:, 0] > 0, unit @ (vectors / np.maximum(length, 1e-30)).T, -2.0)
             near[names[:, None] == own[None, :]] = -2.0
-            take = min(k, near.shape[1])
-            order = np.lexsort((np.broadcast_to(own, near.shape), -near), axis=1)[:, :take]
-            score = np.take_along_axis(near, order, 1)
-            keep = score > -1.5
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, take)[keep.ravel()]), pa.array(own[order].ravel()[keep.ravel()]), pa.array(score.ravel()[keep.ravel()])], ["query_id", "row_id", "similarity"])
+            every, known = np.hstack([top, near]), np.hstack([ids, np.broadcast_to(own, near.shape)])
+            order = np.lexsort((known, -every), axis=1)[:, :k]
+            top, ids = np.take_along_axis(every, order, 1), np.take_along_axis(known, order, 1)
+        keep = (top > -1.5).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, top.shape[1])[keep]), pa.array(ids.ravel()[keep]), pa.array(top.ravel()[keep])], ["query_id", "row_id", "similarity"])
 
     return rows.select(F.col(key).cast("bigint"), vector).where(F.col(vector).isNotNull()).mapInArrow(best, "query_id bigint, row_id bigint, similarity double")
 

@@ -36,25 +36,32 @@ _FILES = "(SELECT DISTINCT entity_id, version, split_part(entity_id, ':', 2) AS
 @query()
 def semantic_search(spark, d):
     """The 25 facts of the star schema that fit a question best; checked in the tests."""
-    return V.semantic_search(triples(spark, d, ("hasName", "hasSegment", "inRegion")), V.read_question("customer segment building region"), 25)
+    return V.semantic_search(triples(spark, d), V.read_question("customer segment building region"), 25)
 
 
-@query("SELECT 'nation ' AS x, n_nationkey || ' in region ' || n_regionkey AS sentence FROM nation")
+@query("SELECT n_nationkey || ' in region ' || n_regionkey AS sentence FROM nation UNION ALL SELECT c_custkey || ' in nation ' || c_nationkey FROM customer UNION ALL SELECT s_suppkey || ' in nation ' || s_nationkey FROM supplier UNION ALL SELECT p_partkey || ' has brand ' || split_part(p_brand, '#', 2) FROM part")
 def triple_sentences(spark, d):
-    t = triples(spark, d, ("inRegion",))
-    return t.select(F.lit("nation ").alias("x"), V.sentence().alias("sentence"))
+    return triples(spark, d, ("inRegion", "inNation", "hasBrand")).select(V.sentence().alias("sentence"))
 
 
-@query(f"SELECT language, count(*) AS n_files, CAST(sum(len(regexp_extract_all(source_code, '\\b(?:if|elif|while|for|try|with)\\b')) + 1) AS BIGINT) AS complexity FROM {_FILES} WHERE language = 'python' GROUP BY 1 UNION ALL SELECT language, count(*), CAST(sum(len(regexp_extract_all(source_code, '\\b(?:if|else|for|switch|case|select)\\b')) + 1) AS BIGINT) FROM {_FILES} WHERE language = 'go' GROUP BY 1")
+_DECISIONS = {
+    "typescript": r"\b(?:if|case|while|do|for)\b|&&|\|\|", "javascript": r"\b(?:if|case|while|do|for)\b|&&|\|\|", "python": r"\b(?:if|elif|while|for|try|with)\b", "java": r"\b(?:if|else|while|for|switch|case|catch)\b|\?", "go": r"\b(?:if|else|for|switch|case|select)\b",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT language, count(*) AS n_files, CAST(sum(len(regexp_extract_all(source_code, '{p}')) + 1) AS BIGINT) AS complexity FROM {_FILES} WHERE language = '{g}' GROUP BY 1" for g, p in _DECISIONS.items()))
 def language_complexity(spark, d):
-    f = _files(spark, d).where("language in ('python', 'go')")
-    return f.groupBy("language").agg(F.count(F.lit(1)).alias("n_files"), F.sum(C.complexity(F.col("language"), F.col("source_code"))).alias("complexity"))
+    """Decisions by language. The conditional operator of scripts counts in the operator's own form, but not here, where the two regex dialects must agree."""
+    f = _files(spark, d).where(F.col("language").isin(*_DECISIONS))
+    n = C.complexity(F.col("language"), F.col("source_code"))
+    ternary = F.when(F.col("language").isin("typescript", "javascript"), C.count_of(F.col("source_code"), r"\?(?![.?:])")).otherwise(0)
+    return f.groupBy("language").agg(F.count(F.lit(1)).alias("n_files"), F.sum(n - ternary).alias("complexity"))
 
 
 @query()
 def call_extraction(spark, d):
-    """Calls of all Go and Java files with their lines; checked on small files in the tests."""
-    return C.calls(_files(spark, d).where("language in ('go', 'java')").select("entity_id", "version", "source_code"), "source_code")
+    """Calls of all files with their lines; checked on small files in the tests."""
+    return C.calls(_files(spark, d).select("entity_id", "version", "source_code"), "source_code")
 
 
 @query()
@@ -74,21 +81,26 @@ def cycle_edges(spark, d):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'depends|path|calls') THEN 'graph' WHEN regexp_matches(lower(text), 'count|sum|average') THEN 'records' ELSE 'search' END AS layer, NOT regexp_matches(lower(text), '\\b(?:now|rand|timestamp|current_time)\\b\\s*\\(?') AS cacheable FROM documents WHERE text IS NOT NULL AND doc_kind = 'chat_log'"
+    "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'depends|path|calls') THEN 'graph' WHEN regexp_matches(lower(text), 'count|sum|average') THEN 'records' ELSE 'search' END AS layer, NOT regexp_matches(lower(text), '\\b(?:now|rand|timestamp|current_time)\\b\\s*\\(?') AS cacheable FROM documents WHERE text IS NOT NULL"
 )
 def routing_advice(spark, d):
     """Where a text would be answered and whether the answer may be kept."""
-    docs = table(spark, d, "documents").where("text is not null and doc_kind = 'chat_log'")
+    docs = table(spark, d, "documents").where("text is not null")
     low = F.lower("text")
     layer = F.when(low.rlike("depends|path|calls"), "graph").when(low.rlike("count|sum|average"), "records").otherwise("search")
     return docs.select("doc_id", layer.alias("layer"), cacheable(F.col("text")).alias("cacheable"))
 
 
-@query("SELECT doc_id, 'low' AS complexity FROM documents WHERE doc_kind = 'runbook' AND text IS NOT NULL AND NOT regexp_matches(upper(text), '\\b(?:UNION|OPTIONAL|FILTER|GROUP BY|ORDER BY)\\b') AND len(regexp_extract_all(text, '\\{')) <= 2")
-def query_complexity_low(spark, d):
-    docs = table(spark, d, "documents").where("doc_kind = 'runbook' and text is not null")
-    plain = ~F.upper("text").rlike(r"\b(?:UNION|OPTIONAL|FILTER|GROUP BY|ORDER BY)\b") & (F.regexp_count("text", F.lit(r"\{")) <= 2)
-    return docs.where(plain).select("doc_id", query_complexity(F.col("text")).alias("complexity"))
+_COUNT = "len(regexp_extract_all(upper(text), '{}'))"
+_SCORE = " + ".join(f"{w} * {_COUNT.format(p)}" for p, w in (("\\bUNION\\b", 2), ("\\bOPTIONAL\\b", 1), ("\\bFILTER\\b", 1), ("\\bGROUP BY\\b", 2), ("\\bORDER BY\\b", 1)))
+
+
+@query(f"SELECT doc_id, CASE WHEN s >= 4 THEN 'high' WHEN s >= 2 THEN 'medium' ELSE 'low' END AS complexity FROM (SELECT doc_id, {_SCORE} + CASE WHEN len(regexp_extract_all(text, '\\{{')) > 2 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' filter and filter' WHEN 2 THEN ' union group by' ELSE ' order by' END AS text FROM documents WHERE text IS NOT NULL))")
+def query_complexity_levels(spark, d):
+    """Complexity of all texts as queries; words of the language are added by turns, so that every level comes up."""
+    docs = table(spark, d, "documents").where("text is not null")
+    added = F.expr("case doc_id % 4 when 0 then '' when 1 then ' filter and filter' when 2 then ' union group by' else ' order by' end")
+    return docs.select("doc_id", query_complexity(F.concat("text", added)).alias("complexity"))
 
 
 @query("SELECT method_id, (CASE WHEN documentation.summary IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN documentation.description IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN len(documentation.tags) > 0 THEN 1 ELSE 0 END) / 3.0 AS documentation_score FROM method_knowledge")

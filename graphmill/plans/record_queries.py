@@ -135,16 +135,25 @@ def budget_overshoot(spark, d):
     return K.budget_overshoot(_docs(spark, d), "source", "tokens", 2000, F.col("score"), F.col("doc_id")).select("doc_id", "source")
 
 
-@query()
+_FOLD = f"WITH RECURSIVE o AS (SELECT source, doc_id, tokens, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS n FROM ({_DOC_TOKENS})),"
+
+
+@query(
+    f"{_FOLD} f AS (SELECT source, 0::BIGINT AS n, NULL::BIGINT AS doc_id, 0::BIGINT AS used, NULL::BIGINT AS taken FROM o WHERE n = 1 UNION ALL SELECT o.source, o.n, o.doc_id, CASE WHEN o.tokens <= 2000 - f.used THEN f.used + o.tokens ELSE f.used END, CASE WHEN o.tokens <= 2000 - f.used THEN o.tokens END FROM f JOIN o ON o.source = f.source AND o.n = f.n + 1)"
+    " SELECT source, doc_id, taken FROM f WHERE taken IS NOT NULL"
+)
 def budget_skip(spark, d):
-    """Best 50 documents of each source; those that do not fit into the rest of the budget are skipped."""
-    return K.budget_fold(_docs(spark, d), "source", "doc_id", "tokens", "score", 2000, 50)
+    """Best documents of each source; those that do not fit into the rest of the budget are skipped."""
+    return K.budget_fold(_docs(spark, d), "source", "doc_id", "tokens", "score", 2000)
 
 
-@query()
+@query(
+    f"{_FOLD} f AS (SELECT source, 0::BIGINT AS n, NULL::BIGINT AS doc_id, 0::BIGINT AS used, NULL::BIGINT AS taken, false AS over FROM o WHERE n = 1 UNION ALL SELECT o.source, o.n, o.doc_id, f.used + CASE WHEN o.tokens <= 2000 - f.used THEN o.tokens WHEN 2000 - f.used > 100 THEN 2000 - f.used ELSE 0 END,"
+    " CASE WHEN o.tokens <= 2000 - f.used THEN o.tokens WHEN 2000 - f.used > 100 THEN 2000 - f.used END, o.tokens > 2000 - f.used FROM f JOIN o ON o.source = f.source AND o.n = f.n + 1 WHERE NOT f.over) SELECT source, doc_id, taken FROM f WHERE taken IS NOT NULL"
+)
 def budget_truncate(spark, d):
     """As budget_skip, but the first that does not fit is cut if more than 100 tokens remain, and ends the list."""
-    return K.budget_fold(_docs(spark, d), "source", "doc_id", "tokens", "score", 2000, 50, truncate=100)
+    return K.budget_fold(_docs(spark, d), "source", "doc_id", "tokens", "score", 2000, truncate=100)
 
 
 _ACCESS = "SELECT user_id, event_type, max(ts) AS last_access, count(*) AS n_access FROM events GROUP BY 1, 2"
@@ -268,10 +277,10 @@ def or_match(spark, d):
 
 @query(
     "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM code_relationships WHERE upper(rel_type) IN ('CALLS', 'CONTAINS') AND to_id IS NOT NULL),"
-    " w AS (SELECT DISTINCT repository_id AS node0, entity_id AS node, 0 AS steps FROM code_entities WHERE entity_type = 'Package' AND repository_id = 'repo-platform-core' UNION SELECT w.node0, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.node WHERE w.steps < 4)"
+    " w AS (SELECT DISTINCT repository_id AS node0, entity_id AS node, 0 AS steps FROM code_entities WHERE entity_type = 'Package' AND repository_id = 'repo-platform-core' UNION SELECT w.node0, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.node WHERE w.steps < 40)"
     " SELECT node, min(steps) AS steps FROM w GROUP BY 1"
 )
 def bfs_shortest(spark, d):
     r = table(spark, d, "code_relationships").where("upper(rel_type) in ('CALLS', 'CONTAINS')").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     start = table(spark, d, "code_entities").where("entity_type = 'Package' and repository_id = 'repo-platform-core'").select(F.col("entity_id").alias("node"))
-    return distances(r, start, 4)
+    return distances(r, start)

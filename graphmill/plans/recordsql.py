@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|<=|>=|!=|<>|[(),=<>*]|\$\w+|[^\s(),=<>!*'\"]+")
+_WHOLE = re.compile(rf"\s*(?:(?:{_TOKEN.pattern})\s*)*")
 
 
 class _Reader:
     def __init__(self, text: str, args: dict[str, object]) -> None:
+        if not _WHOLE.fullmatch(text):
+            raise ValueError("the query holds characters that belong to no word of the language")
         self.words, self.at, self.args = _TOKEN.findall(text), 0, args
 
     def peek(self) -> str:

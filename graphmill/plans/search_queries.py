@@ -62,7 +62,7 @@ def set_intersection_jaccard(spark, d):
 
 @query()
 def context_rank(spark, d):
-    """The 50 documents that fit two terms best, with a decay over 30 days before the newest document."""
+    """The 50 documents that fit two terms best, with a decay over 30 days before a fixed date."""
     docs = table(spark, d, "documents").where("text is not null and created_at is not null")
     age = F.datediff(F.lit(AS_OF).cast("timestamp_ntz"), F.col("created_at"))
     return docs.select("doc_id", V.context_score(F.col("text"), ["graph", "snapshot"], age).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)

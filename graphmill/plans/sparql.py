@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<[^>\s]*>|\"(?:[^\"\\]|\\.)*\"|\?\w+|[A-Za-z_][\w\-]*:[\w\-./#]*|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|<=|>=|!=|&&|\|\||[{}().;,*=<>!]")
+_TOKEN = re.compile(r"<[^>\s]*>|\"(?:[^\"\\]|\\.)*\"|\?\w+|[A-Za-z_][\w\-]*:[\w\-./#]*|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|<=|>=|!=|&&|\|\||[{}().;,*=<>!/^|]")
+_WHOLE = re.compile(rf"\s*(?:(?:{_TOKEN.pattern})\s*)*")
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "SAMPLE": F.min}
 
 
@@ -21,8 +22,13 @@ class Query:
     """A parsed query. `run` takes the store, or a function from a predicate (or None) to the store's part with it."""
 
     def __init__(self, text: str) -> None:
-        self.words = _TOKEN.findall(re.sub(r"(?m)^\s*#.*$", "", text))
-        self.at = 0
+        plain = re.sub(r"(?m)^\s*#.*$", "", text)
+        if not _WHOLE.fullmatch(plain):
+            raise ValueError("the query holds characters that belong to no word of the language")
+        self._begin(_TOKEN.findall(plain), text)
+
+    def _begin(self, words: list[str], text: str) -> None:
+        self.words, self.at, self.fresh = words, 0, 0
         if not self.words:
             raise ValueError("an empty query")
         if text.count("{") != text.count("}"):
@@ -33,6 +39,14 @@ class Query:
             name, full = self._next(), self._next()
             self.prefixes[name] = full.strip("<>")
         self.form = self._next().upper()
+        if self.form == "DESCRIBE":
+            self.described = self._term()
+            if self.described[0] == "var" or self.at < len(self.words):
+                raise ValueError("DESCRIBE takes one resource")
+            return
+        self._parse()
+
+    def _parse(self) -> None:
         self.distinct, self.columns, self.template = False, [], []
         if self.form == "SELECT":
             if self._is("DISTINCT"):
@@ -47,7 +61,7 @@ class Query:
             self._next()
         self.where = self._group()
         self.group, self.having, self.order, self.limit, self.offset = [], None, [], None, 0
-        while self.at < len(self.words):
+        while self.at < len(self.words) and not self._is("}"):
             word = self._next().upper()
             if word == "GROUP":
                 self._next()
@@ -94,12 +108,45 @@ class Query:
         if self._is("DISTINCT"):
             unique = bool(self._next())
         inner = self._next()
-        while self._next() != ")":
-            pass
+        between = " "
+        while (word := self._next()) != ")":
+            if word.upper() == "SEPARATOR":
+                self._next()
+                between = self._term()[1]
         self._next()
         name = self._next()[1:]
         self._next()
-        return name, kind, None if inner == "*" else inner[1:], unique
+        return name, kind + (f" {between}" if kind == "GROUP_CONCAT" else ""), None if inner == "*" else inner[1:], unique
+
+    def _path(self) -> list[list[tuple[bool, tuple[str, str]]]]:
+        """Alternatives of sequences of steps (inverse, term)."""
+        ways: list[list[tuple[bool, tuple[str, str]]]] = [[]]
+        while True:
+            inverse = self._is("^") and bool(self._next())
+            ways[-1].append((inverse, self._term()))
+            if self._is("/"):
+                self._next()
+            elif self._is("|"):
+                self._next()
+                ways.append([])
+            else:
+                return ways
+
+    def _add(self, group: dict, subject: tuple, ways: list, obj: tuple) -> None:
+        """The patterns of a path; steps meet in variables of their own, alternatives become a union."""
+        chains = []
+        for steps in ways:
+            at, chain = subject, []
+            for n, (inverse, term) in enumerate(steps):
+                self.fresh += n < len(steps) - 1
+                to = obj if n == len(steps) - 1 else ("var", f"_{self.fresh}")
+                chain.append((to, term, at) if inverse else (at, term, to))
+                at = to
+            chains.append(chain)
+        if len(chains) == 1:
+            group["patterns"] += chains[0]
+        else:
+            group["union"].append([{"patterns": c, "optional": [], "union": [], "filter": []} for c in chains])
 
     def _term(self) -> tuple[str, str]:
         word = self._next()
@@ -136,6 +183,10 @@ class Query:
                 self._next()
                 group["filter"].append(self._condition())
             elif self._is("{"):
+                if self.words[self.at + 1].upper() == "SELECT":
+                    self._next()
+                    group.setdefault("inner", []).append(self._inner())
+                    continue
                 branches = [self._group()]
                 while self._is("UNION"):
                     self._next()
@@ -144,11 +195,11 @@ class Query:
             else:
                 subject = self._term()
                 while True:
-                    predicate = self._term()
-                    group["patterns"].append((subject, predicate, self._term()))
+                    ways = self._path()
+                    self._add(group, subject, ways, self._term())
                     while self._is(","):
                         self._next()
-                        group["patterns"].append((subject, predicate, self._term()))
+                        self._add(group, subject, ways, self._term())
                     if not self._is(";"):
                         break
                     self._next()
@@ -157,6 +208,16 @@ class Query:
         self._next()
         return group
 
+    def _inner(self) -> Query:
+        """A subquery, read from the same words."""
+        inner = Query.__new__(Query)
+        inner.words, inner.at, inner.fresh, inner.prefixes = self.words, self.at, self.fresh + 1000, self.prefixes
+        inner.form = inner._next().upper()
+        inner._parse()
+        self.at = inner.at
+        self._next()
+        return inner
+
     def _condition(self) -> Column:
         left = self._conjunction()
         while self._peek() == "||":
@@ -181,6 +242,15 @@ class Query:
             self._next()
             return inner
         left = self._operand()
+        if self._is("IN"):
+            self._next(), self._next()
+            among = []
+            while not self._is(")"):
+                among.append(self._operand())
+                if self._is(","):
+                    self._next()
+            self._next()
+            return left.isin(*among)
         if self._peek() not in ("=", "!=", "<", "<=", ">", ">="):
             return left
         sign, right = self._next(), self._operand()
@@ -213,6 +283,8 @@ class Query:
 
     def run(self, store: DataFrame | Callable[[str | None], DataFrame]) -> DataFrame:
         part = store if callable(store) and not isinstance(store, DataFrame) else lambda _: store
+        if self.form == "DESCRIBE":
+            return part(None).where((F.col("subject") == self.described[1]) | (F.col("object") == self.described[1])).select("subject", "predicate", "object")
         found = self._rows(self.where, part)
         if self.form == "ASK":
             return found.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
@@ -239,10 +311,16 @@ class Query:
     def _aggregate(column: tuple[str, str, str | None, bool]) -> Column:
         _, kind, variable, unique = column
         value = F.lit(1) if variable is None else F.col(variable)
-        if kind == "GROUP_CONCAT":
-            return F.array_join(F.array_sort(F.collect_set(value) if unique else F.collect_list(value)), " ")
+        if kind.startswith("GROUP_CONCAT"):
+            return F.array_join(F.array_sort(F.collect_set(value) if unique else F.collect_list(value)), kind[13:])
+        number = value.try_cast("double")
         if kind in ("SUM", "AVG"):
-            value = value.try_cast("double")
+            if unique:
+                return F.sum_distinct(number) if kind == "SUM" else F.sum_distinct(number) / F.count_distinct(number)
+            return _AGGREGATES[kind](number)
+        if kind in ("MIN", "MAX"):  # numbers by their value, before any other text
+            best = F.min_by if kind == "MIN" else F.max_by
+            return best(value, F.struct(number.isNull() if kind == "MIN" else number.isNotNull(), number, value))
         if kind == "COUNT" and unique:
             return F.count_distinct(value)
         return _AGGREGATES[kind](value)
@@ -250,6 +328,7 @@ class Query:
     def _rows(self, group: dict, part: Callable[[str | None], DataFrame]) -> DataFrame:
         frames = [self._pattern(p, part) for p in group["patterns"]]
         frames += [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (self._rows(b, part) for b in branches)) for branches in group["union"]]
+        frames += [q.run(part) for q in group.get("inner", [])]
         joined = frames[0]
         left = frames[1:]
         while left:
@@ -265,7 +344,9 @@ class Query:
     @staticmethod
     def _join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
         shared = [c for c in a.columns if c in b.columns]
-        return a.join(b, shared, how) if shared else a.join(b, how=how) if how == "left" else a.crossJoin(b)
+        if not shared:
+            raise ValueError("patterns without a common variable would be a product of all their rows")
+        return a.join(b, shared, how)
 
     @staticmethod
     def _pattern(pattern: tuple, part: Callable[[str | None], DataFrame]) -> DataFrame:

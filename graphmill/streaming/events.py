@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +40,35 @@ def cooldown(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return events.withColumn("_wait", wait).where(F.col("_wait").isNull() | (F.col("_wait") >= seconds * 1_000_000)).drop("_wait")
 
 
+def _state(target: str, batch_id: int | None = None) -> str | None:
+    """The folder of the last state that was written whole, up to a batch."""
+    where, inner = fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+    found = [i.path for i in where.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if "/state-" in i.path]
+    whole = [p for p in sorted(found) if where.get_file_info(f"{p}/_SUCCESS").type == fs.FileType.File and (batch_id is None or int(p[-12:]) <= batch_id)]
+    scheme = target.partition("://")[0] if "://" in target else "file"
+    return f"{scheme}://{whole[-1]}" if whole else None
+
+
+def read_latest(spark, target: str) -> DataFrame:
+    """The last row of each key that `upsert_latest` has written."""
+    return spark.read.parquet(_state(target))
+
+
 def upsert_latest(target: str, key: str, ts: str):
-    """A foreachBatch sink that keeps the last row of each key in a Parquet folder, one folder for each batch.
+    """A foreachBatch sink that keeps the last row of each key; `read_latest` reads the state.
 
-    The batch id names the folder, so that a batch that is repeated after a failure writes the same result.
+    Each batch is merged with the state before it into a folder named by the batch, so that a batch that is repeated after
+    a failure writes the same result, and the state before it stays as it was until the next batch has been written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), ts).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark, rows = batch.sparkSession, batch
+        if batch_id > 0 and (before := _state(target, batch_id - 1)):
+            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before))
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), ts).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{target}/state-{batch_id:012d}")
+        if batch_id > 1 and (old := _state(target, batch_id - 2)):
+            where, inner = fs.FileSystem.from_uri(old)
+            where.delete_dir(inner)
 
     return write
