@@ -78,10 +78,24 @@ def orphan_relationships(rel: DataFrame, entities: DataFrame, shared: DataFrame)
 
 
 def orphan_report(rel: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
-    """Orphans per side, relationship type and month against all distinct references of that group."""
+    """Orphans per table, side, relationship type and month against all distinct references of that group."""
     refs = relationship_references(rel).select("relationship_id", "rel_type", "side", "key", "at").distinct()
     missing = orphans(refs, living_spans(entities, "entity_id", "ingested_at", "deleted_at"), shared.select(F.col("entity_id").alias("key")))
     flagged = refs.alias("r").join(missing.withColumn("gone", F.lit(1)).alias("m"), _same(), "left")
-    return flagged.groupBy("rel_type", "side", F.date_format(F.col("r.at"), "yyyy-MM").alias("period")).agg(
+    return flagged.groupBy(F.lit("code_relationships").alias("table_name"), "rel_type", "side", F.date_format(F.col("r.at"), "yyyy-MM").alias("period")).agg(
         F.count(F.lit(1)).alias("n_references"), F.count("gone").alias("n_orphans")
     )
+
+
+def missing_keys(rows: DataFrame, name: str, column: str, at: str, parents: DataFrame) -> DataFrame:
+    """References of one column to keys that no row of `parents` (`key`) has, whatever the time.
+
+    `table_name, column_name, period, n_references, n_orphans` by month of `at`; null keys are no references, a null time
+    is a period of its own. References are counted by key and month before anything is joined, so that a key with a third
+    of all rows is a few rows.
+    """
+    refs = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key"), F.date_format(at, "yyyy-MM").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    known = parents.select("key").distinct().withColumn("there", F.lit(True))
+    return refs.join(known, "key", "left").groupBy(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "period").agg(
+        F.sum("n").alias("n_references"), F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n"))), F.lit(0)).alias("n_orphans")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,19 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return R.orphan_report(*_tables(spark, d))
 
 
-QUERIES = {"p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_report": p7_report}
+def p7_tables(spark: SparkSession, d: str) -> DataFrame:
+    """References of the other tables, by table, column and month."""
+    entities, contexts = table(spark, d, "code_entities"), table(spark, d, "code_contexts")
+    repositories = table(spark, d, "repositories").select(F.col("repository_id").alias("key"))
+    files, known = entities.where("entity_type = 'File'").select(F.col("entity_id").alias("key")), contexts.select(F.col("file_id").alias("key"))
+    checks = (
+        (contexts, "code_contexts", "file_id", "last_modified", files), (table(spark, d, "method_knowledge").withColumn("at", F.lit(None).cast("timestamp_ntz")), "method_knowledge", "file_id", "at", known),
+        (entities, "code_entities", "repository_id", "ingested_at", repositories), (table(spark, d, "documents"), "documents", "source", "ingested_at", repositories),
+    )
+    return reduce(DataFrame.unionByName, (R.missing_keys(*check) for check in checks))
+
+
+QUERIES = {"p7_tables": p7_tables, "p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_report": p7_report}
 
 _EDGES = """
 edges AS (SELECT DISTINCT from_id AS parent, to_id AS child FROM code_relationships
@@ -74,6 +88,13 @@ SQL = {
                  UNION ALL SELECT d.ancestor_id, e.child, d.distance + 1 FROM down d JOIN edges e ON e.parent = d.descendant_id)
         SELECT ancestor_id, descendant_id, distance FROM down""",
     "p7_found": f"WITH {_ORPHANS} SELECT DISTINCT relationship_id, side FROM flagged WHERE gone",
-    "p7_report": f"""WITH {_ORPHANS} SELECT rel_type, side, strftime(at_time, '%Y-%m') AS period, count(*) AS n_references,
+    "p7_tables": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, {p} AS period, count(*) AS n_references, count(*) FILTER (WHERE {c} NOT IN (SELECT {k} FROM {o})) AS n_orphans FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL"
+        for t, c, p, k, o in (
+            ("code_contexts", "file_id", "strftime(last_modified, '%Y-%m')", "entity_id", "code_entities WHERE entity_type = 'File'"), ("method_knowledge", "file_id", "CAST(NULL AS VARCHAR)", "file_id", "code_contexts"),
+            ("code_entities", "repository_id", "strftime(ingested_at, '%Y-%m')", "repository_id", "repositories"), ("documents", "source", "strftime(ingested_at, '%Y-%m')", "repository_id", "repositories"),
+        )
+    ),
+    "p7_report": f"""WITH {_ORPHANS} SELECT 'code_relationships' AS table_name, rel_type, side, strftime(at_time, '%Y-%m') AS period, count(*) AS n_references,
         count(*) FILTER (WHERE gone) AS n_orphans FROM flagged GROUP BY ALL""",
 }
