@@ -16,8 +16,14 @@ DECLARATIONS = {
     "go": {"struct": r"^type\s+(\w+)\s+struct", "function": r"^func\s+(\w+)\(", "method": r"^func\s+\([^)]*\)\s*(\w+)\("},
 }
 
-#: Keywords of design patterns with the weight of one hit, and of business domains.
-PATTERNS = {"factory": (("factory", "builder", "create"), 0.3), "observer": (("listener", "observer", "subscribe"), 0.25), "repository": (("repository", "store", "reader"), 0.4), "service": (("service", "manager", "helper"), 0.2)}
+#: Keywords of design patterns with the weight of one hit.
+PATTERNS = {
+    "factory": (("factory", "create"), 0.3),
+    "observer": (("observer", "listener", "subscribe", "notify"), 0.25),
+    "repository": (("repository", "dao", "store"), 0.4),
+    "service": (("service", "manager", "handler"), 0.2),
+}
+#: Keywords of the domains of the documents in the test tables.
 DOMAINS = {"messaging": ("queue", "stream", "event", "message"), "storage": ("shard", "replica", "segment", "journal"), "security": ("token", "secret", "password", "session"), "graph": ("graph", "vertex", "edge", "ontology")}
 
 
@@ -137,3 +143,27 @@ def python_ast(files: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
     return files.select(F.col(files.columns[0]).cast("string"), text).mapInArrow(rows, "path string, kind string, name string, line_no int, end_line int, parent string, is_async boolean")
+
+
+#: Marks that people leave in generated files.
+HAND_MARKS = ("manually", "custom", "hand-written", "handwritten", "edited by", "modified by", "todo", "fixme", "note:")
+
+
+def outline(text: Column) -> Column:
+    """Counts of what a text seems to declare, whatever its language: functions, classes, imports, exports and parameters."""
+    n = lambda p: count_of(text, p).cast("bigint")
+    return F.struct(
+        n(r"(?m)^[ \t]*(?:export )?(?:async )?(?:def|func|function) [A-Za-z_]").alias("n_functions"), n(r"(?m)^[ \t]*(?:export )?(?:public )?(?:abstract )?class [A-Za-z_]").alias("n_classes"),
+        n(r"(?m)^[ \t]*(?:import|from) ").alias("n_imports"), n(r"(?m)^export ").alias("n_exports"), n(r"(?m)@param ").alias("n_params"),
+    )
+
+
+def dependency_class(module: Column, builtin: tuple[str, ...]) -> Column:
+    """internal for relative names and those of the own tree, builtin for listed ones, else external."""
+    return F.when(module.rlike(r"^\.|^mod\.example/"), "internal").when(F.split_part(module, F.lit("."), F.lit(1)).isin(*builtin), "builtin").otherwise("external")
+
+
+def hand_modified(text: Column) -> Column:
+    """Whether a text holds one of HAND_MARKS, without regard to case."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in HAND_MARKS))

@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 
 from .search import DIMENSIONS, cosine, jaccard, word_set
 
-#: Terms with more weight by category, and terms that mean related things.
-WEIGHTS = {"technical": 1.5, "domain": 1.3, "other": 1.2}
+#: Categories of terms with their weights, and terms that mean related things.
+WEIGHTS = {"technical": 1.5, "action": 1.2, "relationship": 1.2, "domain": 1.3}
 CATEGORIES = {
-    "technical": {"class", "method", "function", "interface", "module", "service", "api", "database"}, "domain": {"user", "auth", "authentication", "login", "token", "payment", "order", "session"}, "other": {"test", "config", "build", "deploy"},
-}
-RELATED = {"authentication": ("login", "auth", "token", "session"), "database": ("repository", "store", "table", "query"), "service": ("manager", "handler", "controller"), "graph": ("node", "edge", "vertex", "ontology")}
+    "technical": ("function", "method", "class", "interface", "type", "module", "component"),
+    "action": ("create", "update", "delete", "get", "set", "call", "invoke", "execute"),
+    "relationship": ("depends", "extends", "implements", "uses", "calls", "returns"),
+    "domain": ("user", "auth", "login", "authentication", "session", "token", "security"),
+}
+RELATED = {
+    "user": ("auth", "login", "session", "account", "profile"),
+    "authentication": ("login", "auth", "verify", "credential", "token"),
+    "login": ("user", "auth", "session", "signin", "access"),
+    "method": ("function", "procedure", "operation", "action"),
+    "function": ("method", "procedure", "operation", "call"),
+    "class": ("type", "object", "instance", "entity"),
+    "module": ("component", "package", "library", "service"),
+}
 
 
 @dataclass(frozen=True)
@@ -30,11 +41,11 @@ class Question:
 
 
 def read_question(text: str) -> Question:
-    """Terms of a question with their weights: by category, a tenth more for long words."""
+    """Terms of a question with their weights: of the first category that has a term in the word or the word in a term, a tenth more for long words."""
     terms = []
     for word in dict.fromkeys(re.findall(r"[a-z0-9_]+", text.lower())):
         if len(word) > 2:
-            weight = next((WEIGHTS[k] for k, words in CATEGORIES.items() if word in words), 1.0)
+            weight = next((WEIGHTS[k] for k, words in CATEGORIES.items() if any(w in word or word in w for w in words)), 1.0)
             terms.append((word, round(weight * (1.1 if len(word) > 6 else 1.0), 4)))
     return Question(tuple(terms))
 

@@ -122,3 +122,35 @@ def side_effects(spark, d):
     low = F.lower("name")
     tags = F.array(*(F.when(low.rlike("^(?:" + words + ")"), F.lit(tag)) for tag, words in (("writes", "set|update|write|store|publish"), ("reads", "load|read|fetch|get"), ("removes", "remove|delete|drop|prune"))))
     return table(spark, d, "method_knowledge").select("method_id", F.array_compact(tags).alias("effects"))
+
+
+_OUTLINE = {
+    "n_functions": r"(?m)^[ \t]*(?:export )?(?:async )?(?:def|func|function) [A-Za-z_]", "n_classes": r"(?m)^[ \t]*(?:export )?(?:public )?(?:abstract )?class [A-Za-z_]", "n_imports": r"(?m)^[ \t]*(?:import|from) ", "n_exports": "(?m)^export ", "n_params": "(?m)@param ",
+}
+
+
+@query("SELECT entity_id, version, " + ", ".join(f"CAST(len(regexp_extract_all(source_code, '{p}')) AS BIGINT) AS {c}" for c, p in _OUTLINE.items()) + f" FROM {_FILES}")
+def code_outline(spark, d):
+    """What the text of each file seems to declare."""
+    return _files(spark, d).select("entity_id", "version", C.outline(F.col("source_code")).alias("o")).select("entity_id", "version", "o.*")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(m, '^\\.|^mod\\.example/') THEN 'internal' WHEN split_part(m, '.', 1) IN ('os', 'sys', 're', 'json', 'logging', 'java', 'fmt', 'fs') THEN 'builtin' ELSE 'external' END AS kind FROM (SELECT unnest(list_transform(imports, lambda x: x.module)) AS m FROM code_contexts) WHERE m IS NOT NULL) GROUP BY 1")
+def dependency_classes(spark, d):
+    m = table(spark, d, "code_contexts").select(F.explode("imports.module").alias("m")).where("m is not null")
+    kind = C.dependency_class(F.col("m"), ("os", "sys", "re", "json", "logging", "java", "fmt", "fs"))
+    return m.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT entity_id, version, " + " OR ".join(f"contains(lower(source_code), '{m}')" for m in C.HAND_MARKS) + f" AS touched FROM {_FILES}")
+def developer_modified(spark, d):
+    return _files(spark, d).select("entity_id", "version", C.hand_modified(F.col("source_code")).alias("touched"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, ' a code:Function ')) AS n_functions, len(regexp_extract_all(text, 'code:dependsOn ')) AS n_dependencies, list_sort(list_distinct(regexp_extract_all(text, '@prefix (\\w+):', 1))) AS prefixes, regexp_extract(text, 'code:owner \"([^\"]*)\"', 1) AS owner FROM documents WHERE doc_kind = 'knowledge_ttl' AND text IS NOT NULL")
+def ttl_metadata(spark, d):
+    """Functions, dependencies, prefixes and the owner that a knowledge document names."""
+    t = F.col("text")
+    n = lambda p: F.regexp_count(t, F.lit(p)).cast("bigint")
+    docs = table(spark, d, "documents").where("doc_kind = 'knowledge_ttl' and text is not null")
+    return docs.select("doc_id", n(" a code:Function ").alias("n_functions"), n("code:dependsOn ").alias("n_dependencies"), F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"@prefix (\w+):"), F.lit(1)))).alias("prefixes"), F.regexp_extract(t, 'code:owner "([^"]*)"', 1).alias("owner"))

@@ -113,7 +113,7 @@ _HITS = "CAST(" + ") + CAST(".join("contains(lower(name), '{}') AS INTEGER".form
 
 
 @query(
-    "SELECT pattern, count(*) AS n_classes, round(least(count(*) * w, 1.0), 4) AS confidence FROM (SELECT DISTINCT entity_id, name FROM code_entities WHERE entity_type = 'Class' AND name IS NOT NULL), (VALUES ('factory', 'factory|builder|create', 0.3), ('observer', 'listener|observer|subscribe', 0.25), ('repository', 'repository|store|reader', 0.4), ('service', 'service|manager|helper', 0.2)) p(pattern, re, w)"
+    "SELECT pattern, count(*) AS n_classes, round(least(count(*) * w, 1.0), 4) AS confidence FROM (SELECT DISTINCT entity_id, name FROM code_entities WHERE entity_type = 'Class' AND name IS NOT NULL), (VALUES ('factory', 'factory|create', 0.3), ('observer', 'observer|listener|subscribe|notify', 0.25), ('repository', 'repository|dao|store', 0.4), ('service', 'service|manager|handler', 0.2)) p(pattern, re, w)"
     " WHERE regexp_matches(lower(name), re) GROUP BY pattern, w"
 )
 def pattern_confidence(spark, d):

@@ -20,7 +20,7 @@ def test_semantic_search(spark):
     q = V.read_question("user authentication login")
     assert dict(q.terms)["authentication"] == 1.43 and dict(q.terms)["user"] == 1.3
     got = V.semantic_search(store, q, 5).collect()
-    assert got[0].object == "login" and all(0 < r.score <= 1 for r in got) and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    assert got[0].subject == "module:UserAuth" and all(0 < r.score <= 1 for r in got) and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
     assert abs(sum(x * x for x in V.question_vector(q)) - 1) < 1e-9
     assert V.semantic_search(store, V.read_question(""), 5).count() == 0
     assert store.limit(1).select(V.sentence().alias("s")).first().s == "UserAuth is a Service"
