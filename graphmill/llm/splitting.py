@@ -6,7 +6,7 @@ import re
 from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -136,43 +136,59 @@ def cuts(text: str, first_line: int, limit: int = LIMIT, overlap: int = OVERLAP,
     return out
 
 
-def with_cuts(df: DataFrame, text: str, first_line: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def with_cuts(df: DataFrame, text: str, first_line: str, limit: int = LIMIT, overlap: int = OVERLAP, markup: Column | None = None) -> DataFrame:
     """Adds `cuts` to the rows whose text exceeds the limit; other rows (null, empty, short) are left out.
 
-    The length is tested before the text goes to Python, in code points. A null first line counts as 1.
+    The length is tested before the text goes to Python, in code points. A null first line counts as 1. Where `markup` is
+    true, headings and lists make the tree instead of the indentation of code.
     """
 
     @F.arrow_udf(CUTS)
-    def find(texts: pa.Array, lines: pa.Array) -> pa.Array:
+    def find(texts: pa.Array, lines: pa.Array, marked: pa.Array) -> pa.Array:
         fields = ("start_char", "end_char", "start_line", "end_line")
         rows = [
-            [dict(zip(fields, c, strict=True)) for c in cuts(t, n or 1, limit, overlap)]
-            for t, n in zip(texts.to_pylist(), lines.to_pylist(), strict=True)
+            [dict(zip(fields, c, strict=True)) for c in cuts(t, n or 1, limit, overlap, bool(m))]
+            for t, n, m in zip(texts.to_pylist(), lines.to_pylist(), marked.to_pylist(), strict=True)
         ]
         return pa.array(rows, pa.list_(pa.struct([(f, pa.int32()) for f in fields])))
 
-    return df.where(F.length(text) > limit).withColumn("cuts", find(F.col(text), F.col(first_line)))
+    return df.where(F.length(text) > limit).withColumn("cuts", find(F.col(text), F.col(first_line), F.lit(False) if markup is None else markup))
 
 
 def split_entities(entities: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of each entity version over the limit.
 
     `entity_id, version, piece_no, n_pieces, start_line, end_line, piece`. Of an entity version delivered more
-    than once the last delivery counts. An empty table gives no rows; other columns are ignored.
+    than once the last delivery counts. Documents in markup, by their path, are cut at headings and lists. An empty table
+    gives no rows; other columns are ignored.
     """
-    rows = entities.select("entity_id", "version", "start_line", "source_code", "ingested_at")
-    cut = with_cuts(rows, "source_code", "start_line", limit, overlap)
+    marked = F.coalesce(F.lower("file_path").rlike(r"\.(?:md|markdown|rst|adoc)$"), F.lit(False))
+    rows = entities.select("entity_id", "version", "start_line", "source_code", "ingested_at", marked.alias("marked"))
+    cut = with_cuts(rows, "source_code", "start_line", limit, overlap, F.col("marked"))
     last = cut.groupBy("entity_id", "version").agg(F.max_by(F.struct("source_code", "cuts"), F.struct("ingested_at", F.xxhash64("source_code"))).alias("r"))
     return last.select(
         "entity_id", "version", F.size("r.cuts").alias("n_pieces"), "r.source_code", F.posexplode("r.cuts").alias("piece_no", "c")
     ).select(
-        "entity_id", "version", "piece_no", "n_pieces", "c.start_line", "c.end_line",
+        "entity_id", "version", "piece_no", "n_pieces", "c.start_line", "c.end_line", F.col("c.start_char").alias("start_char"),
         F.substring(F.col("source_code"), F.col("c.start_char") + 1, F.col("c.end_char") - F.col("c.start_char")).alias("piece"),
     )
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_entities(table(spark, d, "code_entities"))
+    return split_entities(table(spark, d, "code_entities")).drop("start_char")
+
+
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each row as a whole: how many characters they cover, and whether all are small enough, overlap by OVERLAP and have their lines."""
+    pieces = split_entities(table(spark, d, "code_entities"))
+    order = Window.partitionBy("entity_id", "version").orderBy("piece_no")
+    end = F.col("start_char") + F.length("piece")
+    told = pieces.withColumn("before", F.lag(end).over(order)).withColumn("breaks", F.length(F.regexp_replace(F.expr("substring(piece, 1, length(piece) - 1)"), r"[^\n]", "")))
+    good = (F.length("piece") <= LIMIT) & (F.col("end_line") - F.col("start_line") == F.col("breaks"))
+    return told.groupBy("entity_id", "version").agg(
+        F.sum(F.length("piece") - F.when(F.col("before").isNull(), 0).otherwise(OVERLAP)).alias("n_chars"), F.bool_and(good).alias("small"),
+        F.bool_and(F.coalesce(F.col("before") - F.col("start_char"), F.lit(OVERLAP)) == OVERLAP).alias("overlapping"),
+    )
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -180,5 +196,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return with_cuts(rows, "source_code", "start_line").where(F.size("cuts") > 1).select("entity_id", "version").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
-SQL = {"p1_found": "SELECT DISTINCT entity_id, version FROM code_entities WHERE length(source_code) > 4000"}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_checks": p1_checks}
+SQL = {
+    "p1_checks": "SELECT entity_id, version, arg_max(length(source_code), ingested_at) AS n_chars, true AS small, true AS overlapping FROM code_entities WHERE length(source_code) > 4000 GROUP BY ALL",
+    "p1_found": "SELECT DISTINCT entity_id, version FROM code_entities WHERE length(source_code) > 4000",
+}

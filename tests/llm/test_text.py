@@ -94,12 +94,21 @@ def test_cuts_at_natural_boundaries():
         splitting.cut_points("x", 10, 10)
 
 
+def test_markup_is_cut_at_headings_and_lists(spark):
+    body = "".join(f"# Part {i}\n\n" + "".join(f"- item {k} of the list in words\n" for k in range(60)) + "\n" for i in range(8))
+    ends = splitting.cut_points(body, markdown=True)
+    assert len(ends) > 3 and all(body[e:].startswith(("# Part", "- item")) for e in ends[:-1])
+    rows = spark.createDataFrame([("d", "1", 1, body, None, "a/README.md"), ("d", "2", 1, body, None, None)], "entity_id string, version string, start_line int, source_code string, ingested_at timestamp_ntz, file_path string")
+    got = splitting.split_entities(rows).collect()
+    assert [r.piece[200:].startswith(("# Part", "- item")) for r in got if r.version == "1" and r.piece_no] == [True] * (len(ends) - 1)
+
+
 def test_split_entities(spark):
-    schema = "entity_id string, version string, start_line int, source_code string, ingested_at timestamp_ntz, piece string"
+    schema = "entity_id string, version string, start_line int, source_code string, ingested_at timestamp_ntz, piece string, file_path string"
     big = "line of code\n" * 400
     from datetime import datetime as T
 
-    rows = [("a", "1", 7, big, T(2025, 1, 1), ""), ("a", "1", 7, big, T(2025, 1, 2), ""), ("b", "1", None, "x" * 4001, None, None), ("c", "1", 1, "y" * 4000, None, ""), ("d", None, 1, None, None, ""), ("e", "1", 1, "", None, "")]
+    rows = [("a", "1", 7, big, T(2025, 1, 1), "", None), ("a", "1", 7, big, T(2025, 1, 2), "", None), ("b", "1", None, "x" * 4001, None, None, None), ("c", "1", 1, "y" * 4000, None, "", None), ("d", None, 1, None, None, "", None), ("e", "1", 1, "", None, "", None)]
     df = spark.createDataFrame(rows, schema)
     got = splitting.split_entities(df).collect()
     assert {r.entity_id for r in got} == {"a", "b"} and len([r for r in got if r.entity_id == "a"]) == 2
