@@ -45,5 +45,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
 
 
-QUERIES = {"p8_ids": p8_ids}
-SQL: dict[str, str] = {}
+def text_of(ids: Column, vocabulary: str = VOCABULARY) -> Column:
+    """The text that token ids stand for; null for null."""
+
+    @F.arrow_udf("string")
+    def join(rows: pa.Array) -> pa.Array:
+        words = encoder(vocabulary).words
+        return pa.array([None if r is None else "".join([words[i] for i in r]).encode("latin-1").decode("utf-8") for r in rows.to_pylist()], pa.string())
+
+    return join(ids)
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each text as its token ids spell it, and whether it has none."""
+    ids = p8_ids(spark, d)
+    return ids.select("doc_id", F.md5(text_of(F.col("ids"))).alias("digest"), (F.size("ids") == 0).alias("is_empty"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+SQL = {"p8_roundtrip": "SELECT doc_id, md5(text) AS digest, text = '' AS is_empty FROM documents"}
