@@ -16,16 +16,29 @@ def top_k(df: DataFrame, k: int, *order: Column, by: list[str] | None = None) ->
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
+#: Parts of a group that are summed apart, before the few rows that may fit are summed together.
+PARTS = 32
+
+
+def _first(df: DataFrame, group: str, tokens: str, budget: int, before: bool, order: tuple[Column, ...]) -> DataFrame:
+    """Rows that may lie within the budget: what comes before a row in one part of its group already counts, so that a row
+    over the budget in its part is over it in the group. A large group is split by a hash of the whole row."""
+    part = F.pmod(F.xxhash64(*(f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant"))), F.lit(PARTS))
+    run = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    own = df.withColumn("_part", part).withColumn("_sum", F.coalesce(F.sum(tokens).over(run), F.lit(0)))
+    return own.where(F.col("_sum") < budget if before else F.col("_sum") <= budget).drop("_part", "_sum")
+
+
 def budget_prefix(df: DataFrame, group: str, tokens: str, budget: int, *order: Column) -> DataFrame:
     """Items in order until the budget of their group would be exceeded: nothing after the first overflow."""
     run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used_tokens", F.sum(tokens).over(run)).where(F.col("used_tokens") <= budget)
+    return _first(df, group, tokens, budget, False, order).withColumn("used_tokens", F.sum(tokens).over(run)).where(F.col("used_tokens") <= budget)
 
 
 def budget_overshoot(df: DataFrame, group: str, tokens: str, budget: int, *order: Column) -> DataFrame:
     """Items in order until the budget is reached; the last may overshoot it."""
     run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum(tokens).over(run), F.lit(0))).where(F.col("before") < budget).drop("before")
+    return _first(df, group, tokens, budget, True, order).withColumn("before", F.coalesce(F.sum(tokens).over(run), F.lit(0))).where(F.col("before") < budget).drop("before")
 
 
 def budget_fold(df: DataFrame, group: str, key: str, tokens: str, score: str, budget: int, truncate: int | None = None) -> DataFrame:

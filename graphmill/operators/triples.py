@@ -68,3 +68,16 @@ def index_sizes(store: DataFrame) -> DataFrame:
     shapes = {"s": ["subject"], "p": ["predicate"], "o": ["object"], "sp": ["subject", "predicate"], "po": ["predicate", "object"], "so": ["subject", "object"]}
     keys = F.array(*(F.struct(F.lit(name).alias("index_name"), F.xxhash64(*c).alias("a"), F.xxhash64(F.lit(name), *reversed(c)).alias("b")) for name, c in shapes.items()))
     return store.select(F.inline(keys)).distinct().groupBy("index_name").agg(F.count(F.lit(1)).alias("n_keys"))
+
+
+def routed(store: DataFrame, edges: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """A store as (edges `subject, edge_type, target`, properties `subject, properties`).
+
+    A predicate that holds a key of `edges`, the first in order, leads to an edge of that type; all others become
+    properties, of several values of one the greatest.
+    """
+    kind = F.coalesce(*(F.when(F.contains("predicate", F.lit(k)), F.lit(v)) for k, v in edges.items()), F.lit(None).cast("string"))
+    told = store.withColumn("edge_type", kind)
+    links = told.where("edge_type is not null").select("subject", "edge_type", F.col("object").alias("target")).distinct()
+    values = told.where("edge_type is null").groupBy("subject", "predicate").agg(F.max("object").alias("object"))
+    return links, values.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "object"))).alias("properties"))

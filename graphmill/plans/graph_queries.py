@@ -176,12 +176,18 @@ def _nodes(spark, d):
     return e.groupBy("entity_id").agg(F.max_by(F.struct("name", "entity_type", "repository_id", "file_path"), F.struct("ingested_at", "version")).alias("r")).select("entity_id", "r.*")
 
 
+def _types(spark, d):
+    """The type of each entity, of the same rows as `_nodes`; only what is needed goes through the shuffle."""
+    e = table(spark, d, "code_entities").select("entity_id", "entity_type", "version", "ingested_at")
+    return e.groupBy("entity_id").agg(F.max_by("entity_type", F.struct("ingested_at", "version")).alias("entity_type"))
+
+
 _NODES = "nodes AS (SELECT entity_id, name, entity_type, repository_id, file_path FROM code_entities QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ingested_at DESC, version DESC) = 1)"
 
 
 @query(f"WITH {_NODES}, r AS {_REL} SELECT a.entity_type AS from_type, r.rel_type, b.entity_type AS to_type, count(*) AS n FROM r JOIN nodes a ON a.entity_id = r.from_id JOIN nodes b ON b.entity_id = r.to_id GROUP BY ALL")
 def hop1_traverse(spark, d):
-    nodes = _nodes(spark, d).select("entity_id", "entity_type")
+    nodes = _types(spark, d)
     a, b = nodes.toDF("from_id", "from_type"), nodes.toDF("to_id", "to_type")
     return _rel(spark, d).join(a, "from_id").join(b, "to_id").groupBy("from_type", "rel_type", "to_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -223,7 +229,7 @@ def missing_required(spark, d):
 @query(f"WITH {_NODES}, r AS {_REL} SELECT r.relationship_id, a.entity_type AS from_type FROM r JOIN nodes a ON a.entity_id = r.from_id JOIN nodes b ON b.entity_id = r.to_id WHERE r.rel_type IN ('EXTENDS', 'INHERITS') AND (a.entity_type <> 'Class' OR b.entity_type <> 'Class') OR r.rel_type IN ('CALLS', 'USES') AND b.entity_type NOT IN ('Method', 'Function') OR r.rel_type = 'CONTAINS' AND a.entity_type = 'Method'")
 def domain_range_violations(spark, d):
     """Relationships whose ends are of a type that theirs does not have; one pass over the nodes for each end."""
-    nodes = _nodes(spark, d).select("entity_id", "entity_type")
+    nodes = _types(spark, d)
     a, b = nodes.toDF("from_id", "from_type"), nodes.toDF("to_id", "to_type")
     wrong = "rel_type in ('EXTENDS', 'INHERITS') and (from_type <> 'Class' or to_type <> 'Class') or rel_type in ('CALLS', 'USES') and to_type not in ('Method', 'Function') or rel_type = 'CONTAINS' and from_type = 'Method'"
     return _rel(spark, d).where("rel_type in ('EXTENDS', 'INHERITS', 'CALLS', 'USES', 'CONTAINS')").join(a, "from_id").join(b, "to_id").where(wrong).select("relationship_id", "from_type")
@@ -394,3 +400,11 @@ def siblings_of_file(spark, d):
     f = _nodes(spark, d).where("entity_type = 'File' and file_path is not null").select("entity_id", "repository_id", F.regexp_replace("file_path", "/[^/]*$", "").alias("folder"))
     q = f.orderBy("entity_id").first()
     return f.where((F.col("repository_id") == q.repository_id) & (F.col("folder") == q.folder) & (F.col("entity_id") != q.entity_id)).select("entity_id")
+
+
+@query("SELECT 'customer:' || c_custkey AS subject, 'PART_OF' AS edge_type, 'nation:' || c_nationkey AS value FROM customer UNION ALL SELECT 'customer:' || c_custkey, 'hasSegment', c_mktsegment FROM customer UNION ALL SELECT 'customer:' || c_custkey, 'hasName', c_name FROM customer")
+def module_sync(spark, d):
+    """Triples of customers as edges and properties, and both as rows again."""
+    store = triples(spark, d, ("inNation", "hasName", "hasSegment")).where("subject like 'customer:%'")
+    links, properties = T.routed(store, {"inNation": "PART_OF"})
+    return links.select("subject", "edge_type", F.col("target").alias("value")).unionByName(properties.select("subject", F.explode("properties").alias("edge_type", "value")))

@@ -7,6 +7,8 @@ OPTIONAL, UNION and FILTER become left joins, unions and conditions; the order o
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -368,3 +370,26 @@ class Query:
 def sparql(store: DataFrame | Callable[[str | None], DataFrame], text: str) -> DataFrame:
     """Rows of a SELECT, one row of an ASK, triples of a CONSTRUCT."""
     return Query(text).run(store)
+
+
+def within(found: DataFrame, seconds: float = 30.0) -> list:
+    """The rows of a query, or TimeoutError if they are not there in time; its jobs are cancelled then."""
+    spark, tag = found.sparkSession, f"query-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    clock = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    clock.start()
+    try:
+        return found.collect()
+    except Exception as why:
+        if late.is_set():
+            raise TimeoutError(f"no answer within {seconds} seconds") from why
+        raise
+    finally:
+        clock.cancel()
+        spark.removeTag(tag)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,25 @@ def commits_since(commits: DataFrame, repository: str, after: str | None, most:
 def keep_backups(copies: DataFrame, key: str, ts: str, n: int) -> DataFrame:
     """The newest n copies of each key."""
     return copies.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts)))).where(F.col("_n") <= n).drop("_n")
+
+
+MOST_BYTES = 1 << 20
+
+
+def read_lines(root: str, path: str, first: int = 1, last: int | None = None) -> str:
+    """Lines of a file below a root, both ends included. A path that leads out of the root and a file above MOST_BYTES are refused."""
+    base = os.path.realpath(root)
+    full = os.path.realpath(os.path.join(base, path))
+    if os.path.commonpath([base, full]) != base:
+        raise ValueError(f"{path} is not below {root}")
+    if os.path.getsize(full) > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    with open(full, encoding="utf-8") as lines:
+        return "".join(line for n, line in enumerate(lines, 1) if n >= first and (last is None or n <= last))
+
+
+def project(files: DataFrame) -> DataFrame:
+    """`build_tool, language, n_files` from the names of all files: what builds a project and what it is written in."""
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    tool = F.when(name == "package.json", "npm").when(name == "pom.xml", "maven").when(name.rlike(r"^build\.gradle"), "gradle").when(name == "go.mod", "go").when(name == "Cargo.toml", "cargo").when(name.isin("pyproject.toml", "setup.py", "requirements.txt"), "pip").when(name == "Makefile", "make")
+    return files.groupBy(tool.alias("build_tool"), language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n_files")).where("build_tool is not null or language is not null")

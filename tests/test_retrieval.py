@@ -85,3 +85,21 @@ def test_workflow_steps(spark):
     known = spark.createDataFrame([("r-12345678",)], "version_id string")
     new = spark.createDataFrame([("r", "1234567890"), ("r", "abcdefghij"), ("r", "abcdefghxx")], "repository_id string, commit_hash string")
     assert {r.version_id for r in W.create_versions(known, new).collect()} == {"r-abcdefgh"}
+
+
+def test_timeouts_and_files(spark, tmp_path):
+    from graphmill.plans.sparql import within
+    from graphmill.sources import files
+
+    assert len(within(spark.range(3), 60)) == 3
+    slow = spark.range(0, 10**13, 1, 4).selectExpr("sum(id % 7)")
+    with pytest.raises(TimeoutError):
+        within(slow, 1.5)
+    (tmp_path / "a.txt").write_text("1\n2\n3\n")
+    (tmp_path / "big").write_bytes(b"x" * (files.MOST_BYTES + 1))
+    assert files.read_lines(str(tmp_path), "a.txt", 2, 2) == "2\n" and files.read_lines(str(tmp_path), "a.txt") == "1\n2\n3\n"
+    for bad in ("../x", "big"):
+        with pytest.raises(ValueError):
+            files.read_lines(str(tmp_path), bad)
+    named = spark.createDataFrame([("a/package.json",), ("a/b.py",), ("c/README",), (None,)], "path string")
+    assert {(r.build_tool, r.language) for r in files.project(named).collect()} >= {(None, "python")}
