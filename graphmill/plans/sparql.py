@@ -374,15 +374,15 @@ def sparql(store: DataFrame | Callable[[str | None], DataFrame], text: str) -> D
 
 def within(found: DataFrame, seconds: float = 30.0) -> list:
     """The rows of a query, or TimeoutError if they are not there in time; its jobs are cancelled then."""
-    spark, tag = found.sparkSession, f"query-{uuid.uuid4().hex}"
+    ctx, group = found.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}"
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        ctx.cancelJobGroup(group)
 
     clock = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    ctx.setJobGroup(group, "query with a time limit", True)
     clock.start()
     try:
         return found.collect()
@@ -392,4 +392,4 @@ def within(found: DataFrame, seconds: float = 30.0) -> list:
         raise
     finally:
         clock.cancel()
-        spark.removeTag(tag)
+        ctx.setLocalProperty("spark.jobGroup.id", None)
