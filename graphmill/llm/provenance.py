@@ -68,17 +68,24 @@ def _every_other(at: np.ndarray) -> np.ndarray:
     return at[run % 2 == 0]
 
 
-def repair(kinds: str) -> tuple[int, int]:
+def repair(kinds: str, limit: float = float("inf")) -> tuple[int, int]:
     """(length of the grammar, longest reuse of a rule) of a string after Re-Pair, which ends when no pair occurs three times.
 
     Each round counts all pairs and replaces, by a new rule each, the most frequent one and those nearly as frequent
     that share no symbol with one before. Rarer pairs wait for a later round, so that the grammar is about as short as
     with one pair a round. Rules cost two symbols each.
+
+    Two neighbours whose pair occurs less than three times stay apart for good, since no later pair across their border
+    can occur more often. Their number and the rules so far are a lower bound of the length; once it reaches `limit`, the
+    bound is returned instead, which tells as well that the grammar is not shorter.
     """
     codes, symbol, most = np.frombuffer(kinds.encode("utf-32-le"), np.uint32).astype(np.int64), FIRST_RULE, 0
     while len(codes) > 5:
         places = (codes[:-1] << 32) | codes[1:]
         pairs, counts = np.unique(places, return_counts=True)
+        least_length = 1 + int(counts[counts < 3].sum()) + 2 * (symbol - FIRST_RULE)
+        if least_length >= limit:
+            return least_length, most
         often = np.flatnonzero(counts >= 3)
         often = often[np.argsort(-counts[often], kind="stable")]
         used: set[int] = set()
@@ -119,7 +126,8 @@ def made_by_grammar(kinds: str) -> bool:
     n = len(kinds)
     if n < 250 or sum(map(kinds.count, "fw")) < 8:
         return False
-    return repair(kinds)[0] / n < max(0.04, 4.8 / n**0.5)
+    limit = n * max(0.04, 4.8 / n**0.5)
+    return repair(kinds, limit)[0] < limit
 
 
 def dense_part(text: str) -> float:
@@ -227,7 +235,8 @@ def by_text(text: str, language: str | None) -> tuple[str | None, str | None]:
         return "minified" if is_minified(text) else "generated", "grammar"
     dense = dense_part(text) if language else 0.0
     if language == "json":
-        if dense >= DENSE_RECORDS and repair(lexer(language).kinds(text))[0] < 0.1 * text.count('"'):
+        limit = 0.1 * text.count('"')
+        if dense >= DENSE_RECORDS and repair(lexer(language).kinds(text), limit)[0] < limit:
             return "generated", "grammar"
     elif dense >= DENSE_PART:
         return "data", "literals"

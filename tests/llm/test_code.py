@@ -196,6 +196,15 @@ def test_repair_goes_on_until_no_pair_occurs_three_times():
     assert provenance.repair("aaaaaa")[0] == 5 and provenance.repair("aaaa")[0] == 4
 
 
+def test_a_bound_of_the_grammar_decides_as_the_whole_grammar_does():
+    rng = random.Random(6)
+    for n in range(200):
+        unit = "".join(rng.choice("fwisnk()[]{}.,:=o+") for _ in range(rng.choice((8, 40, 300))))
+        text = unit * rng.choice((1, 2, 5, 30)) + "".join(rng.choice("fwis") for _ in range(n))
+        whole, limit = provenance.repair(text)[0], rng.uniform(5, 300)
+        assert (provenance.repair(text, limit)[0] < limit) == (whole < limit)
+
+
 def test_a_long_unit_written_many_times_is_generated():
     words = "alpha beta gamma delta omega kappa sigma theta".split()
     rng = random.Random(5)
