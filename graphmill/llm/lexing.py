@@ -21,7 +21,7 @@ _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 
 #: The words of the languages by the part they play; see `_classes`.
 _SCRIPT_WORDS = {
-    "f": "function", "C": "class", "g": "if", "k": "while for with", "r": "switch", "h": "catch", "e": "else", "y": "try", "q": "do", "z": "finally", "a": "case", "w": "return throw typeof void delete new await",
+    "f": "function", "C": "class", "g": "if", "k": "while for with", "r": "switch", "h": "catch", "e": "else", "y": "try", "q": "do", "z": "finally", "a": "case", "W": "return throw", "w": "typeof void delete new await",
     "b": "in instanceof", "d": "const", "v": "let var", "I": "import", "x": "export", "D": "default", "j": "break continue debugger", "p": "extends",
     "c": "async of get set static from as yield",
 }
@@ -31,7 +31,7 @@ _TYPED_WORDS = _SCRIPT_WORDS | {
 }
 _JAVA_WORDS = {
     "m": "public private protected static final abstract native transient volatile strictfp sealed", "C": "class interface enum record",
-    "g": "if", "k": "while for synchronized", "r": "switch", "h": "catch", "e": "else", "y": "try", "q": "do", "z": "finally", "a": "case", "w": "return throw new assert", "b": "instanceof", "I": "import",
+    "g": "if", "k": "while for synchronized", "r": "switch", "h": "catch", "e": "else", "y": "try", "q": "do", "z": "finally", "a": "case", "W": "return throw", "w": "new assert", "b": "instanceof", "I": "import",
     "T": "int long short byte char double float boolean", "Y": "yield",
     "G": "package", "j": "break continue", "p": "extends implements throws permits", "D": "default",
 }
@@ -42,7 +42,7 @@ _GO_WORDS = {
 _PYTHON_WORDS = {"k": "if while for with elif except", "e": "else try finally", "f": "def", "C": "class", "w": "return raise yield await assert del", "I": "import from"}
 
 #: Statement words by the wider classes that most rules and the grammars of `provenance` know.
-COARSE = str.maketrans("grhyqzaT", "kkkeeewi")
+COARSE = str.maketrans("grhyqzaTW", "kkkeeewiw")
 
 _OPERATORS = {
     "++": "u", "--": "u", "!": "~", "~": "~", "=>": "A", "->": "A", "...": "E", "@": "@", "?.": "Q", "::": ".", ".": ".", ":": ":", "?": "?", ";": ";", ",": ",",

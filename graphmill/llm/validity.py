@@ -25,7 +25,7 @@ LANGUAGES = ("python", "typescript", "javascript", "java", "go", "json")
 REASONS = ("literal", "brackets", "tokens", "end", "empty", "parser")
 
 _SYMBOL = {"(": "P", "[": "B", "{": "K"}
-_WORDS = "fCkewbdvIxDjpcgrhyqza"
+_WORDS = "fCkewbdvIxDjpcgrhyqzaW"
 
 
 def _never(*parts: str) -> re.Pattern:
@@ -69,12 +69,14 @@ _GO_FILE = re.compile(
 )
 _RULES = {"typescript": _TYPED, "javascript": _PLAIN, "java": _JAVA, "go": _GO}
 _AFTER_DOT = re.compile(rf"(?<=\.)(\n*)[{_WORDS}mGStM]|(?<=Q)[{_WORDS}]")
-_AS_KEY = re.compile(rf"(?<=[{{,\n])[fCkewbdvIxjpcgrhyqza](?=\??:)|(?<=[\n{{;}}c])[fCewbdvIxDjpca](?=\()(?<!f)|(?<=c)[hkgr](?=\()")
+_AS_KEY = re.compile(rf"(?<=[{{,\n])[fCkewbdvIxjpcgrhyqzaW](?=\??:)|(?<=[\n{{;}}c])[fCewbdvIxDjpcaW](?=\()(?<!f)|(?<=c)[hkgr](?=\()")
 #: What the statements of a block or file never do, line ends left out: an else without an if, a try without what it
 #: tries for, a catch or finally after no block, a const without value, a function without a name, a number assigned to.
-_STATEMENTS = (r"^[^g]*e", r"y(?!P?K[hz])", r"(?:^|[^K])[hz]", r"h(?!P?K)", r"n=")
-_SCRIPT_STATEMENTS = _never(*_STATEMENTS, r"(?<!c)d[ic](?=[;,]|$)", r"(?:^|[;K])f\*?P")
-_JAVA_STATEMENTS = _never(*_STATEMENTS, r"T[=;,o]")
+_STATEMENTS = (r"^[^g]*e", r"y(?!P?K[hz])", r"(?:^|[^K])[hz]", r"h(?!P?K)", r"n=", r",,", r"[o=|+,][gkyqWjea]", r"(?:^|[;K])PK", r"W[gkyqWjeazh]", r"(?:^|[;K])a[a:;]|aa")
+_SCRIPT_STATEMENTS = _never(*_STATEMENTS, r"(?<!c)d[ic](?=[;,]|$)", r"(?:^|[;K])(?:xc?)?f\*?P", r"(?:^|[;K])x?CK", r":,", r"^:", r"Ic?K(?!cs)", r"x[sinPoWwgkj;,]", r"DD", r"Wr")
+_JAVA_STATEMENTS = _never(*_STATEMENTS, r"T[=;,o]", r"(?<![@.])ii<", r"Wii", r"\.P", r"(?<![;K:PeqA\])])W(?!$)(?<!^W)")
+#: What brackets other than braces never hold beside that: statement words, an empty place between commas.
+_INSIDE = re.compile(r",\n*,|[gkyqWjezha]|x|;\n*\)")
 _GO_STATEMENTS = _never(r"\n\n*e", r"(?:^|[^K])e", r"n=", r"(?:^|[\n;:])\n*ii(?=\n|$)")
 _DO_LOOP = re.compile(r"q\n*K\n*kP")
 _GIVEN = re.compile(r"Y(?=[insw~+(-])")
@@ -106,6 +108,11 @@ class Checker:
                     return False
                 if self.language == "java" and before[-1:] in ("P", "e", "y", "q", "z") and before != "" and inner[-1:] not in ("", ";", "K", ":"):
                     return False
+        elif rules is not self.rules["["] and self.language != "go" and rules is self.rules["("]:
+            if _INSIDE.search(inner) or ";" in inner and (before not in ("k", "y", "w") or before != "y" and inner.count(";") != 2):
+                return False
+            if self.language == "java" and (before == "h" and inner in ("i", "") or re.search(r"(?<![@.])ii<|\.P", inner)):
+                return False
         coarse = _NO_BINDING.sub(r"hP\1K", _DO_LOOP.sub("iP", inner)).translate(COARSE)
         return not rules.search(coarse)
 
@@ -131,7 +138,7 @@ class Checker:
             last, outer = opened.pop()
             if _CLOSING[last] != bracket:
                 return "brackets", ""
-            before = "".join(outer[-3:]).rstrip("\n")[-2:] if last == "{" and self.rules else ""
+            before = "".join(outer[-3:]).rstrip("\n")[-2 if last == "{" else -1 :] if last != "[" and self.rules else ""
             symbol = self._group(before, last, "".join(now))
             if symbol == "X":
                 return "tokens", ""

@@ -57,6 +57,18 @@ def test_more_valid_and_invalid_files():
         assert validity.reason_of(language, text), (language, text[:200])
 
 
+def test_statements_and_commas_in_odd_places():
+    bad = {
+        "javascript": ("f(a, , b);\n", "f(a; b);\n", "return return a;\n", "const x = if (a);\n", "export function (a) { }\n", "import { A } './a';\n", "const o = { a: , b: 1 };\n", "(a) { b(); }\n", "for (let i = 0; ; i < 2; i++) { }\n"),
+        "java": ("class A { void f() { return a b; } }\n", "class A { List List<String> a; }\n", "class A { void f() { try { g(); } catch (e) { } } }\n", "class A { void f() { x.(1); } }\n", "class A { void f(int a, , int b) { } }\n"),
+    }
+    good = {"javascript": ("for (;;) { }\nfor (let i = 0, n = 2; i < n; i++) { if (a) return; else throw b; }\nexport { a as b } from './c';\nimport d, { e } from './f';\nimport './g';\n",), "java": ("class A { void f() { try (R r = g(); S s = h()) { return; } catch (E | F e) { throw e; } for (int i = 0; i < 3; i++) { } for (var x : y) { } } }\n",)}
+    for language, texts in bad.items():
+        assert [t for t in texts if validity.reason_of(language, t) is None] == []
+    for language, texts in good.items():
+        assert [t for t in texts if validity.reason_of(language, t)] == []
+
+
 def test_deep_nesting_is_linear():
     began = time.time()
     for language, opened, closed in (("javascript", "(", ")"), ("javascript", "{", "}"), ("java", "(", ")"), ("go", "[", "]")):
