@@ -21,14 +21,15 @@ class Boosted:
         share = np.clip(y.mean(), 0.01, 0.99)
         self.start = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.start)
+        columns = np.ascontiguousarray(x.T)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, y - p, p * (1 - p))
+            tree = self._grow(x, columns, y - p, p * (1 - p))
             self.forest.append(tree)
             score += self._leaf(tree, x)
         return self
 
-    def _grow(self, x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _grow(self, x: np.ndarray, columns: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
         rows = {0: np.arange(len(grad))}
@@ -41,9 +42,11 @@ class Boosted:
             if 2 * node + 2 >= size or len(own) < 8:
                 continue
             best = (1e-3, -1, 0)
-            for f in range(x.shape[1]):
-                left_g = np.cumsum(np.bincount(x[own, f], grad[own], BINS))[:-1]
-                left_h = np.cumsum(np.bincount(x[own, f], hess[own], BINS))[:-1]
+            own_grad, own_hess = grad[own], hess[own]
+            for f, column in enumerate(columns):
+                values = column[own]
+                left_g = np.cumsum(np.bincount(values, own_grad, BINS))[:-1]
+                left_h = np.cumsum(np.bincount(values, own_hess, BINS))[:-1]
                 gain = left_g**2 / (left_h + self.penalty) + (g - left_g) ** 2 / (h - left_h + self.penalty) - g**2 / (h + self.penalty)
                 at = int(np.argmax(gain))
                 if gain[at] > best[0]:
