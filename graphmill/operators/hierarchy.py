@@ -37,15 +37,16 @@ def _colours(edges: DataFrame, up: str, down: str) -> DataFrame:
 
     A colour also jumps: who reaches the owner of my colour reaches me, so that long paths take few rounds.
     """
-    colour = stored(edges.select(F.explode(F.array("child", "parent")).alias("n")).distinct().select("n", F.col("n").alias("c")), "colour")
+    held = stored(edges.select(F.explode(F.array("child", "parent")).alias("n")).distinct().select("n", F.col("n").alias("c")), "colour")
+    colour = held
     while True:
         pushed = edges.join(colour, F.col(up) == F.col("n")).select(F.col(down).alias("n"), "c")
         jumped = colour.alias("a").join(colour.alias("b"), F.col("a.c") == F.col("b.n")).select("a.n", "b.c")
         grown = colour.select("n", "c", F.lit(True).alias("old")).unionByName(pushed.unionByName(jumped).withColumn("old", F.lit(False)))
         after = stored(grown.groupBy("n").agg(F.max("c").alias("c"), F.max(F.when(F.col("old"), F.col("c"))).alias("before")), "colour")
         done = after.where("c <> before").isEmpty()
-        discard(colour)
-        colour = after.select("n", "c")
+        discard(held)
+        held, colour = after, after.select("n", "c")
         if done:
             return colour
 
