@@ -58,9 +58,15 @@ def language_complexity(spark, d):
     return f.groupBy("language").agg(F.count(F.lit(1)).alias("n_files"), F.sum(n - ternary).alias("complexity"))
 
 
-@query()
+_CALL = "(new\\s+[A-Z]\\w*|(?:[A-Za-z_]\\w*\\.)?[A-Za-z_]\\w*)\\("
+
+
+@query(
+    f"SELECT entity_id, version, line_no, CASE WHEN starts_with(c, 'new ') THEN 'new' ELSE nullif(regexp_extract(c, '^(\\w+)\\.', 1), '') END AS receiver, regexp_extract(c, '(\\w+)$', 1) AS name FROM (SELECT entity_id, version, CAST(n AS INTEGER) AS line_no, unnest(regexp_extract_all(line, '{_CALL}', 1)) AS c"
+    f" FROM (SELECT entity_id, version, unnest(string_split(source_code, chr(10))) AS line, generate_subscripts(string_split(source_code, chr(10)), 1) AS n FROM {_FILES}) WHERE contains(line, '(')) WHERE c NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'function', 'def', 'func', 'elif', 'and', 'or', 'not', 'in', 'print')"
+)
 def call_extraction(spark, d):
-    """Calls of all files with their lines; checked on small files in the tests."""
+    """Calls of all files with their lines."""
     return C.calls(_files(spark, d).select("entity_id", "version", "source_code"), "source_code")
 
 

@@ -116,7 +116,7 @@ def _hashed(term: str) -> str:
 
 _VECTORS = (
     f"h AS (SELECT 'nation:' || n_nationkey AS subject, {_hashed(chr(39) + 'nation:' + chr(39) + ' || n_nationkey')} AS hs, {_hashed(chr(39) + 'inRegion' + chr(39))} AS hp, {_hashed(chr(39) + 'region:' + chr(39) + ' || n_regionkey')} AS ho FROM nation),"
-    " v AS (SELECT subject, i, 0.4 * cos((hs + i) * 0.1) + 0.4 * cos((hp + i) * 0.1) + 0.2 * cos((ho + i) * 0.1) AS x FROM h, range(100) r(i)), n AS (SELECT subject, i, x / sqrt(sum(x * x) OVER (PARTITION BY subject)) AS x FROM v)"
+    " v AS (SELECT subject, i, 0.4 * cos((hs + i) * 0.1::DOUBLE) + 0.4 * cos((hp + i) * 0.1::DOUBLE) + 0.2 * cos((ho + i) * 0.1::DOUBLE) AS x FROM h, range(100) r(i)), n AS (SELECT subject, i, x / sqrt(sum(x * x) OVER (PARTITION BY subject)) AS x FROM v)"
 )
 
 

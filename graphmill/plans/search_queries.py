@@ -43,11 +43,14 @@ def relevance_buckets(spark, d):
     return near.groupBy("query_id", F.when(s >= 0.8, "high").when(s >= 0.6, "medium").otherwise("low").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    "WITH h AS (SELECT repository_id, abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)) AS h FROM (SELECT repository_id, unnest(string_split(name, '-')) AS w FROM repositories)),"
+    " v AS (SELECT repository_id, i, avg(sin((h + i) * 0.1::DOUBLE)) AS x FROM h, range(100) r(i) GROUP BY ALL) SELECT repository_id, CAST(i AS INTEGER) AS dimension, round(x / sqrt(sum(x * x) OVER (PARTITION BY repository_id)), 6) AS value FROM v"
+)
 def hash_embedding(spark, d):
-    """Checked against a model in plain Python in the tests."""
+    """Vectors of names, a row a dimension."""
     e = table(spark, d, "repositories").select("repository_id", F.split("name", "-").alias("words"))
-    return e.select("repository_id", V.hash_embedding(F.col("words")).alias("vector"))
+    return e.select("repository_id", F.posexplode(V.hash_embedding(F.col("words"))).alias("dimension", "x")).select("repository_id", "dimension", F.round("x", 6).alias("value"))
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda w: w <> ''))"
@@ -60,12 +63,17 @@ def set_intersection_jaccard(spark, d):
     return docs.where(F.arrays_overlap("w", q)).select("doc_id", F.round(V.jaccard(F.col("w"), q), 6).alias("jaccard"))
 
 
-@query()
+_OCCURS = "(length(low) - length(replace(low, '{0}', ''))) / {1}.0"
+
+
+@query(
+    f"SELECT doc_id, score FROM (SELECT doc_id, round(least(1.0, ({_OCCURS.format('graph', 5)} + {_OCCURS.format('snapshot', 8)}) / 2 / greatest(len(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+')), 1) * greatest(0.1, 1 - date_diff('day', CAST(created_at AS DATE), DATE '2025-12-31') / 30.0)), 9) AS score FROM (SELECT *, lower(text) AS low FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL)) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"
+)
 def context_rank(spark, d):
     """The 50 documents that fit two terms best, with a decay over 30 days before a fixed date."""
     docs = table(spark, d, "documents").where("text is not null and created_at is not null")
     age = F.datediff(F.lit(AS_OF).cast("timestamp_ntz"), F.col("created_at"))
-    return docs.select("doc_id", V.context_score(F.col("text"), ["graph", "snapshot"], age).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
+    return docs.select("doc_id", F.round(V.context_score(F.col("text"), ["graph", "snapshot"], age), 9).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'ontology') AND doc_kind IN ('readme', 'runbook')")
