@@ -68,11 +68,11 @@ def text_of(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 
 
-def related_score(text: Column, question: Question) -> Column:
-    """Half the Jaccard similarity and 0.3 times the weight for each related term that the text holds, at most 1."""
+def related_score(text: Column, question: Question, same: Column | None = None) -> Column:
+    """Half the Jaccard similarity and 0.3 times the weight for each related term that the text holds, at most 1; `same` is that similarity where it is known."""
     words = F.array(*(F.lit(w) for w in question.words)) if question.words else F.array().cast("array<string>")
     parts = [F.when(F.contains(text, F.lit(r)), 0.3 * w).otherwise(0.0) for t, w in question.terms for r in RELATED.get(t, ())]
-    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts, jaccard(word_set(text), words) * 0.5))
+    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts, (jaccard(word_set(text), words) if same is None else same) * 0.5))
 
 
 def structural_score(question: Question) -> Column:
@@ -89,23 +89,48 @@ def boost(text: Column, age_days: Column | None = None) -> Column:
     return out if age_days is None else out + F.when(age_days < 7, 0.1).when(age_days < 30, 0.05).otherwise(0.0)
 
 
+def spaced(text: Column) -> Column:
+    """A text whose runs of `a-z` and `0-9` are its words in lower case, parted at capitals too; a text that has none stays as it is.
+
+    `\\P{Alnum}` is `[^A-Za-z0-9]`, which the JVM's regex takes several times as long for.
+    """
+    cut = F.lower(F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), r"\P{Alnum}+", " "))
+    return F.when(F.lower(text) == text, text).otherwise(cut)
+
+
+def may_match(question: Question) -> Column:
+    """Whether a triple can have a score without a vector: a part holds a term of the question or a related one, or is null."""
+    parts = ("subject", "predicate", "object")
+    terms = dict.fromkeys([*question.words, *(r for w in question.words for r in RELATED.get(w, ()))])
+    held = [F.lower(F.col(c)).rlike("|".join(map(re.escape, terms))) for c in parts] if terms else []
+    return reduce(lambda a, b: a | b, [*held, *(F.col(c).isNull() for c in parts)])
+
+
 def semantic_search(triples: DataFrame, question: Question, limit: int, threshold: float = 0.1, vector: str | None = None) -> DataFrame:
     """The best triples for a question: `subject, predicate, object, score, reason`.
 
     The score is 0.3 cosine (where the triples have a vector), 0.3 Jaccard, 0.25 related terms and 0.15 structure, plus
     the boosts, at most 1. Ties go by the terms of the triple, so that a repeated search gives the same rows.
+
+    All triples are read; those that can only score 0 are dropped by one look at each part. Of the others each
+    intermediate value is a column of its own, which is computed once. The threshold is on the leading term of the order, so
+    that it may follow the limit: before it the engine would compute the score a second time to filter by it.
     """
-    text = text_of("subject", "predicate", "object")
-    spaced = F.regexp_replace(F.regexp_replace(F.concat_ws(" ", "subject", "predicate", "object"), "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
-    words = F.array(*(F.lit(w) for w in question.words)) if question.words else F.array().cast("array<string>")
-    same = jaccard(word_set(spaced), words)
+    asked = list(dict.fromkeys(question.words))
+    found = triples.where(may_match(question)) if vector is None and threshold > 0 else triples
     near = cosine(F.col(vector), F.array(*(F.lit(x) for x in question_vector(question)))) if vector else F.lit(0.0)
-    base = near * 0.3 + same * 0.3 + related_score(F.lower(spaced), question) * 0.25 + structural_score(question) * 0.15
-    hits = F.filter(words, lambda w: F.contains(text, w))
-    scored = triples.select(
-        "subject", "predicate", "object", F.round(F.when(base > 0, F.least(F.lit(1.0), base + boost(text))).otherwise(0.0), 6).alias("score"), F.concat(F.lit("matches "), F.array_join(hits, ", ")).alias("reason")
-    )
-    return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "subject", "predicate", "object").limit(limit)
+    words = F.array_distinct(F.regexp_extract_all("plain", F.lit("[a-z0-9]+"), 0))
+    shared = reduce(lambda a, b: a + b, (F.array_contains("words", w).cast("int") for w in asked), F.lit(0))
+    union = F.size("words") + len(asked) - F.col("shared")
+    base = F.col("near") * 0.3 + F.col("same") * 0.3 + related_score(F.col("plain"), question, F.col("same")) * 0.25 + structural_score(question) * 0.15
+    score = F.round(F.when(F.col("base") > 0, F.least(F.lit(1.0), F.col("base") + boost(F.col("text")))).otherwise(0.0), 6)
+    plain = F.concat_ws(" ", *(spaced(F.col(c)) for c in ("subject", "predicate", "object")))
+    parts = found.select("subject", "predicate", "object", near.alias("near"), text_of("subject", "predicate", "object").alias("text"), plain.alias("plain"))
+    counted = parts.withColumn("words", words).withColumn("shared", shared)
+    scored = counted.withColumn("same", F.when(union == 0, 0.0).otherwise(F.col("shared") / union)).withColumn("base", base).select("subject", "predicate", "object", score.alias("score"))
+    best = scored.orderBy(F.desc("score"), "subject", "predicate", "object").limit(limit).where(F.col("score") >= threshold)
+    hits = [F.when(F.contains(text_of("subject", "predicate", "object"), F.lit(w)), F.lit(w)) for w in question.words]
+    return best.withColumn("reason", F.concat(F.lit("matches "), F.concat_ws(", ", *hits)))
 
 
 def sentence(predicate: str = "predicate") -> Column:
